@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import with_package
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
+from .packing import pack
 from .pii import BASE, find_spans
 from .quality import LONG_FIELDS, judge
 from .url_filters import filter_urls, rule_table
@@ -37,13 +38,25 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *LONG_FIELDS, "base_failed", "kept")
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pack(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), with_ids=False)
+    return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = find_spans(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", *(f"n_{k}" for k in BASE), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_url_filters, op6_html_text, op7_quality_rules, op9_pii)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_url_filters, op6_html_text, op7_quality_rules, op8_packing, op9_pii)}
 
 
 SQL = {
