@@ -13,6 +13,8 @@ from .html_text import extract_text
 from .packing import pack
 from .pii import BASE, find_spans
 from .quality import LONG_FIELDS, judge
+from .sentencepiece_fst import encode_rows
+from .toxicity import held_out, learn, score
 from .url_filters import filter_urls, rule_table
 
 
@@ -20,6 +22,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return with_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = exact_dedup(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -29,6 +38,16 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), rule_table(spark))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_rows(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = learn(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), ~held_out())
+    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
@@ -38,13 +57,6 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *LONG_FIELDS, "base_failed", "kept")
 
 
-def vocabulary(name: str) -> str:
-    """The path of a public tokenizer's file."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pack(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), with_ids=False)
     return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
@@ -56,7 +68,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_url_filters, op6_html_text, op7_quality_rules, op8_packing, op9_pii)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_url_filters, op4_sentencepiece, op5_toxicity, op6_html_text, op7_quality_rules, op8_packing, op9_pii)}
 
 
 SQL = {
