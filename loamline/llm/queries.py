@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import with_package
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
+from .near_dup import near_duplicates
 from .packing import pack
 from .pii import BASE, find_spans
 from .quality import LONG_FIELDS, judge
@@ -34,6 +35,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), rule_table(spark))
 
@@ -68,7 +73,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_url_filters, op4_sentencepiece, op5_toxicity, op6_html_text, op7_quality_rules, op8_packing, op9_pii)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_near_duplicates, op3_url_filters, op4_sentencepiece, op5_toxicity, op6_html_text, op7_quality_rules, op8_packing, op9_pii)}
 
 
 SQL = {
