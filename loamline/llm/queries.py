@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import with_package
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
+from .language_id import identify
 from .near_dup import near_duplicates
 from .packing import pack
 from .pii import BASE, find_spans
@@ -72,8 +73,18 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *(f"n_{k}" for k in BASE), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_near_duplicates, op3_url_filters, op4_sentencepiece, op5_toxicity, op6_html_text, op7_quality_rules, op8_packing, op9_pii)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_near_duplicates, op3_url_filters, op4_sentencepiece, op5_toxicity, op6_html_text, op7_quality_rules, op8_packing, op9_pii, op10_language_id, pipeline)}
 
 
 SQL = {
