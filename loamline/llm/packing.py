@@ -35,39 +35,89 @@ PART_TOKENS = 2_000_000
 #: Distinct pieces between white space whose ids a worker remembers.
 MEMORY = 400_000
 
-_PIECE = re.compile(r"\s*\S+|\s+")
+_PIECE = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
+#: White space by one definition or another; a text with such characters is encoded whole.
+_ODD = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _known: dict[str, tuple] = {}
 
 
-def tokenizer_of(path: str):
-    """The tokenizer in path, loaded once a worker, and its memory of pieces."""
+def _fast_merges(path: str):
+    """The byte-level merges in path for tiktoken, which runs them several times as fast with the same ids; None where
+    ids aren't in the order of the merges or the words are split by another pattern."""
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        given = json.load(f)
+    model, split = given["model"], given.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or given.get("normalizer"):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    special = {t["content"] for t in given.get("added_tokens", ())}
+    ranks = {bytes(byte[c] for c in w): i for w, i in model["vocab"].items() if w not in special}
+    merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    ordered = [model["vocab"][m] for m in merges]
+    if ordered != sorted(ordered) or len(ranks) != 256 + len(set(merges)) or max(ranks[bytes([b])] for b in range(256)) > ordered[0]:
+        return None
+    words = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    return tiktoken.Encoding("merges", pat_str=words, mergeable_ranks=ranks, special_tokens={})
+
+
+def tokenizer_of(path: str) -> tuple:
+    """The tokenizer in path, its fast merges, its special tokens, and the worker's memory of pieces; loaded once."""
     if path not in _known:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _known[path] = (Tokenizer.from_file(path), {})
+        tok = Tokenizer.from_file(path)
+        _known[path] = (tok, _fast_merges(path), [t.content for t in tok.get_added_tokens_decoder().values()], {})
     return _known[path]
 
 
 def encode(path: str, texts: list[str]) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers.
 
-    The tokenizer splits at every change from other characters to white space before it merges anything, so the ids of a
-    text are the ids of its pieces between such places, and pieces met before needn't be encoded again.
+    The tokenizer splits before every white space that follows another character before it merges anything, so the ids of
+    a text are the ids of its pieces between such places, and pieces met before needn't be encoded again. New ones are
+    encoded many at a time, with line ends between them, whose id then tells where a piece ends.
     """
-    tok, memory = tokenizer_of(path)
-    pieces = [_PIECE.findall(t) for t in texts]
-    new = list({p for ps in pieces for p in ps if p not in memory})
+    tok, fast, special, memory = tokenizer_of(path)
+    whole = [any(c in t for c in (_ODD[:4] if t.isascii() else _ODD)) or any(c in t for c in special) for t in texts]
+    pieces = [[] if w else _PIECE.findall(t) for t, w in zip(texts, whole, strict=True)]
+    met: set[str] = set().union(*pieces)
+    new = met - memory.keys()
     if len(memory) + len(new) > MEMORY:
         memory.clear()
-        new = list({p for ps in pieces for p in ps})
-    for i in range(0, len(new), 4096):
-        some = new[i : i + 4096]
-        for p, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            memory[p] = np.array(e.ids, dtype="<u4").tobytes()
-    return [b"".join(map(memory.__getitem__, ps)) for ps in pieces]
+        new = met
+    alone = [p for p in new if p[0] in "\t\n\r\f\v" or p[0] == " " and (len(p) == 1 or p[1] in " \t\n\r\f\v")]
+    lined = list(new.difference(alone))
+    end = tok.token_to_id("Ċ")
+    if end is None:
+        alone, lined = list(new), []
+    blocks = [lined[i : i + 256] for i in range(0, len(lined), 256)]
+    joined = ["\n".join(b) for b in blocks]
+    found = map(fast.encode_ordinary, joined) if fast else (e.ids for e in tok.encode_batch_fast(joined, add_special_tokens=False))
+    for block, e in zip(blocks, found, strict=True):
+        ids = np.array([*e, end], dtype="<u4")
+        raw, cuts = ids.tobytes(), (np.flatnonzero(ids == end) * 4).tolist()
+        if len(cuts) != len(block):
+            alone += block
+            continue
+        at = 0
+        for p, cut in zip(block, cuts, strict=True):
+            memory[p] = raw[at:cut]
+            at = cut + 4
+    for p, e in zip(alone, tok.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+        memory[p] = np.array(e.ids, dtype="<u4").tobytes()
+    out = [b"".join(map(memory.__getitem__, ps)) for ps in pieces]
+    for i, w in enumerate(whole):
+        if w:
+            out[i] = np.array(tok.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
+    return out
 
 
 def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
