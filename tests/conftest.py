@@ -33,7 +33,7 @@ def compare(frame, sql, sf_dir):
     for p in Path(sf_dir).glob("*.parquet"):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
     names = sorted(frame.columns)
-    want = con.execute(sql).fetch_arrow_table()
+    want = con.execute(sql).to_arrow_table()
     assert sorted(want.column_names) == names
     plain = lambda v: None if v is None or v != v else f"{v:.7g}" if isinstance(v, float) else str(v)
     rows = lambda t: sorted([tuple(plain(r[n]) for n in names) for r in t], key=str)
