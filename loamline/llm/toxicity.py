@@ -17,7 +17,6 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .near_dup import shingles
 from .pii import fit_logistic
 
 #: Labelled rows that the lexicon and the curve are learned from, at most.
@@ -92,9 +92,10 @@ def surprise(t: int, n: int, share: float) -> float:
     return n * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0.0))
 
 
-def _sketch(folded: str) -> int:
-    """The same for most near copies of a text: the least hash of its words."""
-    return min((zlib.crc32(w.encode("utf-8", "replace")) for w in set(folded.split())), default=0)
+def _sketch(text: str | None) -> int:
+    """The same for most near copies of a text, hardly ever for others: the least hash of its five-word runs."""
+    found = shingles(text)
+    return int(found[0] >> np.uint64(1)) if len(found) else 0
 
 
 def choose_entries(counts: list[tuple[str, int, int, int, int]], toxic: int, clean: int, toxic_words: int, clean_words: int) -> dict[str, float]:
@@ -171,7 +172,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: Column | None = None,
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([_sketch(fold(t)) for t in b.column(1).to_pylist()], pa.int64())], ["_id", "bad", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([_sketch(t) for t in b.column(1).to_pylist()], pa.int64())], ["_id", "bad", "sketch"])
 
     once = every.mapInArrow(sketch, "_id bigint, bad boolean, sketch bigint").groupBy("sketch", "bad").agg(F.min("_id").alias("_id"))  # at most SAMPLE rows
     rows = docs.join(F.broadcast(once), F.col("doc_id") == F.col("_id")).select(F.col("text").cast("string").alias("text"), "bad")
