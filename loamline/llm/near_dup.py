@@ -262,7 +262,8 @@ def _sets_of(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, n).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["rep", "items"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string").alias("text"))
-    return texts.join(reps, "rep", "left_semi").mapInArrow(run, "rep bigint, items binary").dropDuplicates(["rep"])
+    # the list of classes grows with the input, so it is never broadcast: the plan is the same at every size
+    return texts.join(reps.hint("merge"), "rep", "left_semi").mapInArrow(run, "rep bigint, items binary").dropDuplicates(["rep"])
 
 
 def similar_classes(docs: DataFrame, classes: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -376,4 +377,4 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
 def one_of_each(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """docs without near duplicates: of each class the row with the largest doc_id stays; all columns stay."""
     kept = near_duplicates(docs, n, threshold).filter("doc_id = class_id OR doc_id IS NULL").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
