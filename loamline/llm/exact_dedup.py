@@ -235,6 +235,6 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     left = docs.withColumns({"_id": F.col("doc_id").cast("bigint"), "_digest": digest})
     from pyspark.sql import Window
 
-    joined = left.join(kept, left["_id"].eqNullSafe(kept["_id"]) & (left["_digest"] == kept["_digest"]), "left_semi")
+    joined = left.join(kept.hint("merge"), left["_id"].eqNullSafe(kept["_id"]) & (left["_digest"] == kept["_digest"]), "left_semi")
     once = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy("_id"))
     return joined.withColumn("_once", once).filter("_once = 1").select(docs.columns)
