@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.normal import norm_inv
@@ -158,8 +158,6 @@ def inverse_normal(spark, sf_dir):
 @query
 def drought_runs(spark, sf_dir):
     rows = events.runs(ssi.score(A.pool(spark, sf_dir), P), P)
-    from pyspark.sql import Window
-
     first = F.min("t").over(Window.partitionBy(*events.SERIES, "run"))
     return _rounded(rows.select(*events.SERIES, "t", first.alias("t0"), "z1"), "z1")
 
