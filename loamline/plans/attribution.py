@@ -24,3 +24,9 @@ def maps(found: DataFrame, classes: DataFrame, p: Params, mask_all: bool = False
     """masked metrics, differences by model, median differences, medians."""
     masked = ensemble.apply_masks(found, classes, p, mask_all)
     return {"metrics": masked, "differences": ensemble.differences(masked), "median_differences": ensemble.median_differences(masked), "medians": ensemble.ensemble_medians(masked)}
+
+
+def save(tables: dict[str, DataFrame], path: str) -> None:
+    """Keep every table of an analysis under path."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")

@@ -217,6 +217,15 @@ def test_grids(spark, tmp_path):
     assert grids.dense(df, "v", 2, 2).filter("v IS NULL").count() == 2
 
 
+def test_maps(spark, tmp_path):
+    df = spark.createDataFrame([("a", "EI", 0, 0, 1.0, 2.0), ("a", "EI", 1, 1, 3.0, None), ("b", "RP", 0, 1, 4.0, 5.0)], "model string, period string, lat_idx int, lon_idx int, d double, m double")
+    grids.write_maps(df, ("d", "m"), str(tmp_path / "maps"), 2, 2, ("model", "period"), decimals=0, no_data="x")
+    read = lambda name: "".join(p.read_text() for p in (tmp_path / "maps" / f"map={name}").glob("part-*")).splitlines()
+    assert len(list((tmp_path / "maps").glob("map=*"))) == 4
+    assert read("a_EI_d")[0] == "ncols 2" and read("a_EI_d")[5:] == ["NODATA_value x", "x 3", "1 x"]
+    assert read("b_RP_m")[-2:] == ["x x", "x 5"]
+
+
 def test_assertion_on_missing_index(spark):
     from loamline.operators import ssi
     from loamline.params import Params
