@@ -220,24 +220,34 @@ def _band_keys(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "bands").mapInArrow(run, "rep bigint, key bigint")
 
 
+#: Rounds after which components() gives up with an error; a component of n nodes takes about log n of them.
+ROUNDS = 200
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node and root (the largest number of its component) for all nodes of edges (a, b).
 
-    Labels spread along edges and jump to their own label's label; each round is written to the shared folder, and the
-    number of rounds grows with the logarithm of a component's diameter, more or less.
+    Large-star and small-star take turns: first every node's smaller neighbours are tied to the largest number in its
+    neighbourhood, then every node and its larger neighbours are tied to the largest of these. Neither parts nor joins
+    components; in the end each is a star around its root. Rounds grow with the logarithm of a component's nodes, not
+    with its diameter. Each round is written to the shared folder.
     """
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), f"{name}-edges")
-    labels = materialize(both.groupBy("a").agg(F.greatest(F.col("a"), F.max("b")).alias("root")).withColumnRenamed("a", "node"), f"{name}-0")
-    for k in range(1, 100):
-        spread = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "root")
-        jump = labels.join(labels.select(F.col("node").alias("root"), F.col("root").alias("higher")), "root").select("node", F.col("higher").alias("root"))
-        new = spread.unionByName(jump).unionByName(labels.select("node", "root")).groupBy("node").agg(F.max("root").alias("root"))
-        new = materialize(new, f"{name}-{k}")
-        changed = new.join(labels.withColumnRenamed("root", "old"), "node").filter("root <> old").limit(1).count()
-        labels = new
-        if not changed:
-            break
-    return labels
+    links = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = materialize(links, f"{name}-0")
+    for k in range(1, ROUNDS + 1):
+        # nodes with more than one larger neighbour, or with larger and smaller ones
+        ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not ends.filter("up > 1 OR up > 0 AND down > 0").limit(1).count():
+            return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        total = max(1, links.count())
+        largest = links.select(F.col("a").alias("b"), F.col("b").alias("top"), F.lit(0).alias("below")).unionByName(links.select("b", F.col("b").alias("top"), F.lit(1).alias("below")))
+        largest = largest.groupBy("b").agg(F.max("top").alias("top"), F.sum("below").alias("below")).filter("below > 0")
+        large = materialize(join_uneven(links, largest, "b", "below", total).select("a", F.col("top").alias("b")).distinct(), f"{name}-{k}-large")
+        highest = materialize(large.groupBy("a").agg(F.max("b").alias("top"), F.count(F.lit(1)).alias("above")), f"{name}-{k}-highest")
+        small = join_uneven(large, highest, "a", "above", max(1, large.count())).select(F.col("b").alias("a"), F.col("top").alias("b")).filter("a <> b")
+        links = materialize(small.unionByName(highest.select("a", F.col("top").alias("b"))).distinct(), f"{name}-{k}")
+    raise RuntimeError(f"components of {name} aren't finished after {ROUNDS} rounds")
 
 
 LINK_SCHEMA = "a bigint, b bigint, texts bigint, docs bigint, edge boolean"

@@ -136,3 +136,24 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 101), (101, 102), (200, 200)]
     got = {r.node: r.root for r in N.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {i: 20 for i in range(21)} | {100: 102, 101: 102, 102: 102}
+
+
+def test_components_of_long_chains(spark, monkeypatch):
+    shuffled = list(range(2000, 2400))
+    random.Random(7).shuffle(shuffled)
+    chains = [[999, *range(500)], shuffled]  # the largest number at one end, and numbers in no order
+    edges = [e for c in chains for e in zip(c, c[1:], strict=False)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    got = {r.node: r.root for r in N.components(df).collect()}
+    assert got == {x: max(c) for c in chains for x in c}
+    monkeypatch.setattr(N, "ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        N.components(df)
+
+
+def test_a_long_chain_of_revisions_is_one_class(spark):
+    words = [f"w{i}" for i in range(700)]
+    order = [149, *range(149)]  # each revision is at 0.8 or more to the next only
+    rows = [(i, " ".join(words[4 * k : 4 * k + 48])) for k, i in enumerate(order)]
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: r[0] for i, r in near_expected(rows).items()} and set(got.values()) == {149}
