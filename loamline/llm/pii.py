@@ -35,7 +35,7 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MORE = {
-    "secret": re.compile(r"(?i:\b[a-z_-]*(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[a-z_-]*\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<key>[^\s\"',;]{6,200})[\"']?)|\b(?P<aws>(?:AKIA|ASIA)[A-Z0-9]{12,20})\b|\b(?P<git>gh[pousr]_[A-Za-z0-9]{20,80}|xox[abpr]-[A-Za-z0-9-]{10,80}|sk-[A-Za-z0-9]{20,80}|AIza[A-Za-z0-9_-]{30,40})\b|\b(?P<hex>(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,128})\b"),
+    "secret": re.compile(r"(?i:\b[a-z_-]*(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[a-z_-]*\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<key>[^\s\"',;]{6,})[\"']?)|\b(?P<aws>(?:AKIA|ASIA)[A-Z0-9]{12,})\b|\b(?P<git>gh[pousr]_[A-Za-z0-9]{20,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{30,})\b|\b(?P<hex>(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,})\b"),
     "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     "iban": re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b"),
     "mac": re.compile(r"\b[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}\b"),

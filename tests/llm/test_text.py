@@ -258,6 +258,14 @@ def test_spans(spark):
     assert (pii.train(frame(spark, [])) == pii.untrained()).all()
 
 
+@pytest.mark.parametrize(("before", "secret"), [("token=\"", "eyJ" + "aB3d_-x." * 62 + "z"), ("key ", "ghp_" + "aB3d5" * 24), ("key ", "sk-" + "aB3d5" * 40), ("key ", "xoxb-" + "12aB-" * 30 + "z"), ("key ", "AIza" + "aB3d5" * 12), ("key ", "AKIA" + "AB3D5" * 6), ("hash ", "0a1b2c3d" * 20)])
+def test_long_secrets(spark, before, secret):
+    text = f"{before}{secret}\" end."
+    docs, weights = frame(spark, [(1, text)]), pii.untrained()
+    assert pii.find_spans(docs, weights).first().spans == f"secret:{len(before)}:{len(before) + len(secret)}"
+    assert pii.redact(docs, weights).first().text == f"{before}[SECRET]\" end."
+
+
 def test_label_model_finds_the_bad_labeler():
     rng = np.random.default_rng(1)
     truth = rng.random(4000) < 0.6
