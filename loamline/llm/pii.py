@@ -2,7 +2,7 @@
 
 Candidates come from patterns. Each candidate is voted on by labelers of three sorts: patterns (formats and checksums),
 gazetteers (key names, vendor prefixes, given names) and context (words before it, the look of its characters).
-Expectation-maximisation over the votes of a bounded sample of candidates estimates how far each labeler can be trusted,
+Expectation-maximisation over the votes of all candidates, counted by equal votes, estimates how far each labeler can be trusted,
 without any true labels; its posteriors then train a logistic classifier on features of the span, which decides about
 every candidate. The four base kinds (email, ip, card, phone) are facts of a format and always stay; the classifier
 decides about the other kinds: secret, ssn, iban, mac, ipv6, name.
@@ -24,8 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows (by hash of the id) whose candidates train the label model, and candidates at most.
-SAMPLE, CANDIDATES = 20_000, 50_000
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "ssn", "iban", "mac", "ipv6", "name")
 
@@ -142,20 +140,22 @@ def features(kind: str, form: str, vote: list[int], length: int) -> list[float]:
     return [1.0, *[float(v == 1) - float(v == 0) for v in vote], *[float(kind == k) for k in KINDS[len(BASE) :]], float(form == "hex"), min(length, 80) / 40]
 
 
-def label_model(table: np.ndarray, prior: float = 0.7, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(table: np.ndarray, n: np.ndarray | None = None, prior: float = 0.7, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """EM for labelers that vote independently given the truth. Returns posteriors, and each labeler's rate of votes for,
-    given yes and given no. Smoothing pulls toward labelers that are right more often than not."""
+    given yes and given no. Row i of the table stands for n[i] candidates (1 by default). Smoothing pulls toward labelers that are right more often than not."""
     yes, cast = (table == 1).astype(float), (table >= 0).astype(float)
     hit, false, share = np.full(table.shape[1], 0.8), np.full(table.shape[1], 0.2), prior
     post = np.full(len(table), prior)
+    n = np.ones(len(table)) if n is None else n.astype(float)
     for _ in range(rounds):
         up = yes @ np.log(hit) + (cast - yes) @ np.log(1 - hit) + math.log(share)
         down = yes @ np.log(false) + (cast - yes) @ np.log(1 - false) + math.log(1 - share)
         new = 1 / (1 + np.exp(np.clip(down - up, -50, 50)))
-        hit = (new @ yes + 8) / (new @ cast + 10)
-        false = ((1 - new) @ yes + 2) / ((1 - new) @ cast + 10)
+        up, down = n * new, n * (1 - new)
+        hit = (up @ yes + 8) / (up @ cast + 10)
+        false = (down @ yes + 2) / (down @ cast + 10)
         hit, false = np.maximum(hit, 0.5), np.minimum(false, 0.5)
-        share = float((new.sum() + 7) / (len(new) + 10))
+        share = float((up.sum() + 7) / (n.sum() + 10))
         done, post = np.abs(new - post).max(initial=0) < 1e-6, new
         if done:
             break
@@ -163,18 +163,24 @@ def label_model(table: np.ndarray, prior: float = 0.7, rounds: int = 50) -> tupl
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(weight @ (np.logaddexp(0, z) - y * z) + ridge * (w @ w) / 2)
+
     w = np.zeros(x.shape[1])
-    for _ in range(30):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (weight * (y - p)) - ridge * w
         step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + ridge * np.eye(len(w)), grad)
+        while loss(w + step) > loss(w) and np.abs(step).max() >= 1e-8:  # large counts can make a whole step too long
+            step /= 2
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-#: Used where the sample holds no candidates; the same form as a trained one.
+#: Used where there are no candidates; the same form as a trained one.
 def untrained() -> np.ndarray:
     n = len(features("secret", "key", [-1] * len(LABELERS), 0))
     w = np.zeros(n)
@@ -182,11 +188,10 @@ def untrained() -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Weights of the span classifier, from a bounded sample of rows. Equal votes are counted together before they are
-    sent to the driver."""
-    ids = docs.select(F.col("doc_id").alias("_id")).filter(F.col("_id").isNotNull()).orderBy(F.xxhash64("_id"), "_id").limit(sample).distinct()
-    rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select(F.col("text").cast("string").alias("text"))
+def train(docs: DataFrame) -> np.ndarray:
+    """Weights of the span classifier, from all rows. Equal votes are counted together before they are sent to the
+    driver: forms, votes and lengths up to 80 have some thousands of values together, whatever the input's size."""
+    rows = docs.select(F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -197,15 +202,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array([k[2] for k in found], pa.string()), pa.array([k[3] for k in found], pa.int64()), pa.array(list(found.values()), pa.int64())], ["kind", "form", "votes", "length", "n"])
 
     counted = rows.mapInArrow(run, "kind string, form string, votes string, length bigint, n bigint").groupBy("kind", "form", "votes", "length").agg(F.sum("n").alias("n"))
-    got = counted.orderBy(F.desc("n"), "kind", "form", "votes", "length").limit(CANDIDATES).collect()
+    got = counted.orderBy("kind", "form", "votes", "length").collect()
     if not got:
         return untrained()
     table = np.array([[int(v) for v in r["votes"].split(",")] for r in got])
-    n = np.minimum(np.array([r["n"] for r in got]), 1000)
-    post, _, _ = label_model(np.repeat(table, n, axis=0))
-    first = np.concatenate([[0], np.cumsum(n)[:-1]])
+    n = np.array([r["n"] for r in got], dtype=float)
+    post, _, _ = label_model(table, n)
     x = np.array([features(r["kind"], r["form"], [int(v) for v in r["votes"].split(",")], r["length"]) for r in got])
-    return fit_logistic(x, post[first], n.astype(float))
+    return fit_logistic(x, post, n)
 
 
 def all_spans(text: str, weights: np.ndarray, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:

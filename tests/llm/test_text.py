@@ -275,6 +275,24 @@ def test_label_model_finds_the_bad_labeler():
     assert hit[0] > 0.9 and abs(hit[3] - 0.55) < 0.1 and false[0] < 0.1
 
 
+def test_label_model_counts():
+    table, n = np.array([[1, 1, 0], [1, 0, 0], [0, 0, 1], [0, -1, 0]]), np.array([2500, 40, 3000, 7])
+    for got, want in zip(pii.label_model(table, n), pii.label_model(np.repeat(table, n, axis=0)), strict=True):
+        assert np.allclose(got if len(got) == 3 else np.repeat(got, n), want)
+
+
+def test_all_rows_train(spark):
+    """A kind in one row of 20,001 or more is counted, and common votes count as often as they occur."""
+    rare = spark.range(20_001).selectExpr("max_by(id, xxhash64(id))").first()[0]  # the last one by hash
+    texts = [(i, "iban DE89 3704 0044 0532 0130 00 x" if i == rare else "password=ab12cd34ef56") for i in range(20_001)]
+    weights = pii.train(frame(spark, texts))
+    assert weights[1 + len(pii.LABELERS) + pii.KINDS[len(pii.BASE) :].index("iban")] != 0
+    rows = [(k, f, pii.votes(t, a, b, k, f), min(80, b - a)) for t in ("password=ab12cd34ef56", texts[rare][1]) for a, b, k, f in pii.candidates(t)]
+    n = np.array([20_000, 1])
+    post, _, _ = pii.label_model(np.array([r[2] for r in rows]), n)
+    assert len(rows) == 2 and np.allclose(weights, pii.fit_logistic(np.array([pii.features(*r) for r in rows]), post, n), atol=1e-6)
+
+
 # Languages.
 
 
