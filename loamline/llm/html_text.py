@@ -1,8 +1,8 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block of the page. A line has a weight: its text outside links, and nothing
-at all inside elements that by tag, role, class or id are menus, notices, adverts, forms or reader comments. Sums of the
-weights over sliding windows of lines form the distribution; the text begins where it surges from a window of little
+Markup is stripped into lines, one for each block of the page. Lines inside elements that by tag, role, class or
+id are menus, notices, adverts, forms or reader comments are left out; the others weigh their text outside links. Sums of
+the weights over sliding windows of lines form the distribution; text begins wherever it surges from a window of little
 weight and ends where it dives again. Inside of an article element (or else main) every line is text and none
 outside of it is; a page without either is cut where the distribution says.
 
@@ -138,45 +138,32 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def surge_and_dive(weights: list[int]) -> tuple[int, int]:
-    """First and one past the last line of the text: from the surge before the heaviest run of windows to its dive."""
+def surge_and_dive(weights: list[int]) -> list[bool]:
+    """Which lines are text: in every run of windows, those from its surge to its dive."""
     n = len(weights)
-    if not n or not any(weights):
-        return 0, 0
+    kept = [False] * n
+    if not any(weights):
+        return kept
     sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
     least = min(SURGE, max(sums) // 2)
-    best, best_weight, i = (0, 0), 0, 0
-    while i < n:
-        if sums[i] <= least:
-            i += 1
-            continue
-        j = i
-        while j < n and sums[j] > least:
-            j += 1
-        first, last = i, min(n, j + WINDOW - 1)
-        while first < last and not weights[first]:
-            first += 1
-        while last > first and not weights[last - 1]:
-            last -= 1
-        if (w := sum(weights[first:last])) > best_weight:
-            best, best_weight = (first, last), w
-        i = j
-    return best
+    for i in range(n):
+        if sums[i] > least:
+            for j in range(i, min(n, i + WINDOW)):
+                kept[j] = weights[j] > 0
+    return kept
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    zone = max((z for _, _, z in lines), default=0)
-    if zone > 0:  # inside the article (or main) each line weighs at least one, outside none do
-        weights = [max(1, len(t) - k) if z == zone else 0 for t, k, z in lines]
-        first = next((i for i, w in enumerate(weights) if w), 0)
-        last = len(weights) - next((i for i, w in enumerate(reversed(weights)) if w), 0)
+    zone = max((z for _, _, z in lines if z > 0), default=0)
+    lines = [(t, k) for t, k, z in lines if z == zone]
+    if zone > 0:  # every line of the article (or main) is text
+        kept = [True] * len(lines)
     else:
-        weights = [max(0, len(t) - 2 * k) if z == 0 else 0 for t, k, z in lines]
-        first, last = surge_and_dive(weights)
-    return " ".join(t for (t, _, _), w in zip(lines[first:last], weights[first:last], strict=True) if w)
+        kept = surge_and_dive([max(0, len(t) - 2 * k) for t, k in lines])
+    return " ".join(t for (t, _), keep in zip(lines, kept, strict=True) if keep)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

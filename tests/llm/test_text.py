@@ -106,6 +106,18 @@ def test_main_text():
     assert html_text.main_text("just text") == "just text"
 
 
+def test_text_between_boxes():
+    assert html_text.main_text(PAGE % "") == ""
+    first, second = "word " * 80, "more " * 60
+    paragraphs = lambda t: f"<p>{t}</p>" * 2
+    want = " ".join([first.strip()] * 2 + [second.strip()] * 2)
+    for box in ("<div class=ad>" + "<p>Buy</p>" * 5 + "</div>", "<ul>" + "<li><a href=/>Related page</a></li>" * 6 + "</ul>", "<form>" + "<p>Name</p>" * 4 + "</form>"):
+        assert html_text.main_text(PAGE % (paragraphs(first) + box + paragraphs(second))) == want
+    short = "<p>A short line.</p>"  # between boxes that are left out, it is still in the text
+    box = "<div class=ad>" + "<p>Buy</p>" * 5 + "</div>"
+    assert html_text.main_text(PAGE % (paragraphs(first) + box + short + box + paragraphs(second))) == " ".join([first.strip()] * 2 + ["A short line."] + [second.strip()] * 2)
+
+
 def test_extract_text(spark):
     rows = [(1, "u", PAGE % "<main><p>Hi</p></main>"), (2, None, None), (None, "v", "<p>" + "y" * 100_000)]
     pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id bigint, url string, html string, text string")
