@@ -7,8 +7,8 @@ its host. How far declarations and addresses can be trusted is estimated from th
 what texts say against what is declared. Host priors are smoothed toward the registered domain's, those toward the
 top-level domain's, and those toward all pages'; a page never counts in its own prior.
 
-The trigram model is learned from a bounded sample of labelled documents (``SAMPLE``, by hash of the id). Defined
-results: pages without text are judged by the other evidence; without a url the prior is that of all pages; without any
+The trigram model is learned from a sample of labelled documents, bounded for each language (``SAMPLE``, by hash of the
+id), so that no language is missing. Defined results: pages without text are judged by the other evidence; without a url the prior is that of all pages; without any
 labelled document there are no languages and every page gets null; repeated rows are each judged; nulls count as missing.
 """
 
@@ -26,15 +26,21 @@ from .common import ascii_lower, join_uneven, materialize
 from .html_text import main_text
 from .url_filters import host_of, path_of
 
-#: Labelled documents for the trigram model, languages at most, buckets for trigrams.
-SAMPLE, LANGUAGES, BUCKETS = 8_000, 64, 1 << 14
+#: Labelled documents of a language for the trigram model (about, where it has more), buckets for trigrams.
+SAMPLE, BUCKETS = 8_000, 1 << 14
 #: A text of n trigrams counts like this many independent ones at most.
 INDEPENDENT = 40.0
 #: Pages of the wider group that count in a narrower one's prior.
 SMOOTH = 5.0
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+#: The language of an html tag; comments and elements whose content is no markup are passed over.
+_LANG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea)\b.*?(?:</\1\b|\Z)|<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I | re.S)
+
+
+def declared_language(page: str | None) -> str | None:
+    """What the page's first html tag with a language says, wherever it stands."""
+    return next((m.group(2).lower() for m in _LANG.finditer(page or "") if m.group(2)), None)
 
 
 def trigrams(text: str | None) -> np.ndarray:
@@ -49,8 +55,10 @@ def trigrams(text: str | None) -> np.ndarray:
 
 def learn_trigrams(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages, and logarithms of their trigram chances, from documents (doc_id, text, lang)."""
-    chosen = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(sample).distinct()
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).filter("lang IS NOT NULL").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    labelled = docs.filter("lang IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rates = labelled.groupBy("lang").agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("rate"))
+    place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text"))), F.lit(1 << 30)) / float(1 << 30)
+    rows = labelled.join(F.broadcast(rates), "lang").filter(place < F.col("rate")).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -63,8 +71,8 @@ def learn_trigrams(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
 
     counts = rows.mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    by_bucket = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.collect_list(F.struct("bucket", "n")).alias("n"))  # at most BUCKETS of each
-    got = sorted(by_bucket.orderBy(F.desc("total"), "lang").limit(LANGUAGES).collect(), key=lambda r: r["lang"])
+    by_bucket = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("n"))  # at most BUCKETS of each
+    got = sorted(by_bucket.collect(), key=lambda r: r["lang"])
     table = np.full((len(got), BUCKETS), 0.5)
     for i, r in enumerate(got):
         for bucket, n in r["n"]:
@@ -133,8 +141,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
             logs, declared = [], []
             for page in b.column(2).to_pylist():
                 logs.append(text_evidence(main_text(page), table).tolist())
-                m = _LANG.search(page[:4096]) if page else None
-                declared.append(m.group(1).lower() if m else None)
+                declared.append(declared_language(page))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(declared, pa.string()), pa.array(logs, pa.list_(pa.float64()))], ["page_id", "url", "declared", "logs"])
 
     rows = needed.mapInArrow(run, "page_id bigint, url string, declared string, logs array<double>")

@@ -322,3 +322,18 @@ def test_language(spark):
     assert got[100].lang == "aa" and got[101].lang == "bb" and got[300].lang == "bb" and got[102].lang in ("aa", "bb")
     assert len(got) == len(rows) and all(0.5 <= r.probability <= 1 for r in got.values())
     assert language_id.identify(spark.createDataFrame(rows[:2], "page_id bigint, url string, html string"), frame(spark, [])).filter("lang IS NULL").count() == 2
+
+
+def test_declared_language_anywhere():
+    tag = '<html class="x" lang="De-at">'
+    assert language_id.declared_language("<!DOCTYPE html>" + "<!-- licence -->" * 500 + tag) == "de"
+    assert language_id.declared_language(" " * 9000 + tag) == language_id.declared_language(f"<html data-x='{'y' * 9000}' lang=de>") == "de"
+    assert language_id.declared_language(f'<!-- <html lang="fr"> --><script>"<html lang=es>"</script>{tag}') == "de"
+    assert language_id.declared_language(None) == language_id.declared_language("<html><p lang=de>") == language_id.declared_language("<!-- " + tag) is None
+
+
+def test_every_language_is_learned(spark):
+    langs = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqrst"]
+    docs = spark.createDataFrame([(i, f"{k * 3} {k}a " * (2 + i), k, "s", 0) for i, k in enumerate(langs)] + [(1000 + i, "common words " * 20, "zz", "s", 0) for i in range(300)], SCHEMA)
+    found, table = language_id.learn_trigrams(docs, sample=50)
+    assert found == [*langs, "zz"] and table.shape[0] == 81
