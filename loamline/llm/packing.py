@@ -1,16 +1,21 @@
 """Packing of token sequences whose mixture is controlled by deficit round-robin.
 
-Documents are tokenised once. They are dealt by a hash of the id to packing parts of a bounded number of tokens; in each
-part there is a queue for each source. Window after window of 2048 tokens is filled: each source earns its target share
-of the window as deficit, sources are served in turn while their deficit lasts (never less than a quantum at a time, so
-that a small share isn't served crumbs), documents are cut where a turn ends, and what a source is owed or owes goes into
-the next window. A part begins with the deficits that the parts before it leave behind: targets of the tokens before it
-less what each source had there, which counts by part and source give without running the parts in turn. Sources that
-run dry leave their share to the others, so every token is packed. A part's last, unfull window is cut into sequences of
-powers of two, which need no padding.
+Documents are tokenised once. The targets fix a schedule for the whole corpus: how many tokens of each source the first g
+packed tokens hold, for every g (a source that runs dry leaves its share to the others). The schedule is cut into parts of
+a bounded number of tokens, and every document is dealt to the part that holds its place in its source's queue (cut where
+a part ends), so each part gets from each source what the schedule says, to the token. What rounding at a part's
+beginning leaves a source owed or in debt is its deficit there, so deficits carry on from part to part without running
+the parts in turn. In a part there is a queue for each source, and window after window of 2048 tokens is filled: each
+source earns its target share of the window, sources are served in turn, whole tokens of what they are owed, and what is
+left over goes into the next window. The credit of a window always equals its space: what a source that ran dry was owed
+goes to the others by their shares. Sources that are owed less than a quantum wait, so that a small share isn't served
+crumbs. Every token is packed. A part's last, unfull window is cut into sequences of powers of two, which need no padding.
 
 Defined results: a null text counts as empty, its document is the end token alone; a null source is a source of its own;
-repeated rows are packed each; an empty table gives no rows; other columns aren't needed.
+repeated rows and rows without a doc_id are packed each; very long texts are cut over as many windows and parts as they
+need; documents of a source follow one another in the order of the table; an empty table gives no rows; other columns,
+whatever their names, aren't needed. Without targets every window follows the corpus's own shares; sources that targets
+don't name (or give nothing) come after all others have run dry, by their own shares.
 """
 
 from __future__ import annotations
@@ -23,19 +28,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import materialize, partitions, running
 
 #: Tokens in a sequence, the least number served to a source in a turn, the id that ends a document.
-LENGTH, QUANTUM, END = 2048, 64, 1
-#: Tokens in a packing part on average at most.
+LENGTH, QUANTUM, END = 2048, 8, 1
+#: Tokens in a packing part, about.
 PART_TOKENS = 2_000_000
-#: Distinct pieces between white space whose ids a worker remembers.
-MEMORY = 400_000
-
-_PIECE = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
+#: Tokens of a window that may go to what sources are owed from before the first window; the rest is carried on.
+ARREARS = LENGTH // 20
+#: Text between white space of this many characters is left to the slower tokenizer, whose time doesn't grow with the square.
+LONG_PIECE = 2000
 #: White space by one definition or another; a text with such characters is encoded whole.
 _ODD = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _known: dict[str, tuple] = {}
@@ -66,7 +70,7 @@ def _fast_merges(path: str):
 
 
 def tokenizer_of(path: str) -> tuple:
-    """The tokenizer in path, its fast merges, its special tokens, and the worker's memory of pieces; loaded once."""
+    """The tokenizer in path, its fast merges, its special tokens, and the type its ids fit into; loaded once a worker."""
     if path not in _known:
         import os
 
@@ -74,107 +78,153 @@ def tokenizer_of(path: str) -> tuple:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        _known[path] = (tok, _fast_merges(path), [t.content for t in tok.get_added_tokens_decoder().values()], {})
+        _known[path] = (tok, _fast_merges(path), [t.content for t in tok.get_added_tokens_decoder().values()], "<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4")
     return _known[path]
 
 
-def encode(path: str, texts: list[str]) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit numbers.
+def encode(path: str, texts: list[str]) -> list[np.ndarray]:
+    """Ids of each text, as unsigned little-endian numbers of 16 bits where the vocabulary allows that, else of 32.
 
-    The tokenizer splits before every white space that follows another character before it merges anything, so the ids of
-    a text are the ids of its pieces between such places, and pieces met before needn't be encoded again. New ones are
-    encoded many at a time, with line ends between them, whose id then tells where a piece ends.
+    The fast merges do the work; texts with special tokens, with characters that only some call white space, or with a
+    very long piece go through the tokenizer itself.
     """
-    tok, fast, special, memory = tokenizer_of(path)
-    whole = [any(c in t for c in (_ODD[:4] if t.isascii() else _ODD)) or any(c in t for c in special) for t in texts]
-    pieces = [[] if w else _PIECE.findall(t) for t, w in zip(texts, whole, strict=True)]
-    met: set[str] = set().union(*pieces)
-    new = met - memory.keys()
-    if len(memory) + len(new) > MEMORY:
-        memory.clear()
-        new = met
-    alone = [p for p in new if p[0] in "\t\n\r\f\v" or p[0] == " " and (len(p) == 1 or p[1] in " \t\n\r\f\v")]
-    lined = list(new.difference(alone))
-    end = tok.token_to_id("Ċ")
-    if end is None:
-        alone, lined = list(new), []
-    blocks = [lined[i : i + 256] for i in range(0, len(lined), 256)]
-    joined = ["\n".join(b) for b in blocks]
-    found = map(fast.encode_ordinary, joined) if fast else (e.ids for e in tok.encode_batch_fast(joined, add_special_tokens=False))
-    for block, e in zip(blocks, found, strict=True):
-        ids = np.array([*e, end], dtype="<u4")
-        raw, cuts = ids.tobytes(), (np.flatnonzero(ids == end) * 4).tolist()
-        if len(cuts) != len(block):
-            alone += block
-            continue
-        at = 0
-        for p, cut in zip(block, cuts, strict=True):
-            memory[p] = raw[at:cut]
-            at = cut + 4
-    for p, e in zip(alone, tok.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-        memory[p] = np.array(e.ids, dtype="<u4").tobytes()
-    out = [b"".join(map(memory.__getitem__, ps)) for ps in pieces]
-    for i, w in enumerate(whole):
-        if w:
-            out[i] = np.array(tok.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
+    tok, fast, special, kind = tokenizer_of(path)
+    out: list[np.ndarray | None] = [None] * len(texts)
+    slow = []
+    for i, t in enumerate(texts):
+        if fast is None or any(c in t for c in (_ODD[:4] if t.isascii() else _ODD)) or any(c in t for c in special) or len(t) > LONG_PIECE and max(map(len, t.split()), default=LONG_PIECE) >= LONG_PIECE:
+            slow.append(i)
+        else:
+            out[i] = np.array(fast.encode_ordinary(t), dtype=kind)
+    for i, e in zip(slow, tok.encode_batch_fast([texts[i] for i in slow], add_special_tokens=False), strict=True):
+        out[i] = np.array(e.ids, dtype=kind)
     return out
 
 
 def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, doc_tokens and ids (with the end token) of every row."""
-    end = np.array([END], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
-                ids = [x + end for x in encode(path, [t or "" for t in b.column(2).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "doc_tokens", "ids"])
+                found = encode(path, [t or "" for t in b.column(2).to_pylist()])
+                ids = [x.tobytes() + np.array([END], dtype=x.dtype).tobytes() for x in found]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) + 1 for x in found], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "doc_tokens", "ids"])
 
     source = F.col(source_col).cast("string") if source_col in docs.columns else F.lit(None).cast("string")
     needed = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), source.alias("source"), F.col(text_col).cast("string").alias("text"))
     return needed.mapInArrow(run, "doc_id bigint, source string, doc_tokens bigint, ids binary")
 
 
-def fill(queues: dict[str | None, deque], shares: dict[str | None, float], deficits: dict[str | None, float]) -> Iterator[tuple[int, int, int, int, int]]:
+class Schedule:
+    """Which tokens of a source belong to which part.
+
+    total: tokens of all sources. named: tokens of each source with a target. targets: their shares. A place in a source's
+    queue is told by the number of its tokens before it.
+    """
+
+    def __init__(self, total: int, length: int, named: dict[str | None, int] | None = None, targets: dict[str | None, float] | None = None):
+        self.total, self.length = total, length
+        self.targets = {s: t for s, t in (targets or {}).items() if t > 0 and (named or {}).get(s)}
+        self.knots = {s: ([0.0], [0.0]) for s in self.targets}  # tokens of all sources, tokens of this one
+        left, at = {s: float(named[s]) for s in self.targets}, 0.0
+        while left:
+            share = sum(self.targets[s] for s in left)
+            step = min(n * share / self.targets[s] for s, n in left.items())
+            at += step
+            for s in list(left):
+                had = self.knots[s][1][-1] + step * self.targets[s] / share
+                left[s] -= step * self.targets[s] / share
+                dry = left[s] <= 1e-6 * max(1.0, step)
+                self.knots[s][0].append(at)
+                self.knots[s][1].append(float(named[s]) if dry else had)
+                if dry:
+                    del left[s]
+        self.others = sum(named[s] for s in self.targets) if self.targets else 0  # where the sources without a target begin
+
+    def cut(self, source: str | None, whole: int, part: int) -> tuple[int, float]:
+        """Tokens of a source (whole of them in all) before a part, and what the source is owed there by rounding."""
+        g = part * self.length
+        if source in self.knots:
+            exact = float(np.interp(g, *self.knots[source]))
+            n = min(whole, int(exact + 0.5)) if g < self.knots[source][0][-1] else whole
+            return n, exact - n if n < whole else 0.0
+        rest, g = self.total - self.others, min(max(g - self.others, 0), self.total - self.others)
+        n = (2 * g * whole + rest) // (2 * rest)
+        return n, g * whole / rest - n
+
+    def part(self, source: str | None, whole: int, place: int) -> int:
+        """The part that holds a place."""
+        if source in self.knots:
+            g = float(np.interp(place, self.knots[source][1], self.knots[source][0]))
+        else:
+            g = self.others + place * (self.total - self.others) // whole
+        k = int(g) // self.length
+        while self.cut(source, whole, k + 1)[0] <= place:
+            k += 1
+        while k and self.cut(source, whole, k)[0] > place:
+            k -= 1
+        return k
+
+
+def fill(queues: dict[str | None, deque], shares: dict[str | None, float], deficits: dict[str | None, float], rest: dict[str | None, float] | None = None) -> Iterator[tuple[int, int, int, int, int]]:
     """Pieces (row, start, length, window, offset) that empty the queues of [row, start, tokens left].
 
-    deficits is carried from window to window and holds what is left at the end.
+    shares: targets of a window. rest: shares of the sources without a target, which come when all others are dry.
+    deficits: what sources are owed before the first window (or owe, if negative), and at the end after the last one.
+    What is owed at the beginning is settled by at most ARREARS tokens a window.
     """
-    window = offset = 0
-    left = sum(d[2] for q in queues.values() for d in q)
-    active = deque(sorted((s for s, q in queues.items() if q), key=lambda s: (s is None, s or "")))
-    while left:
-        alive = sum(shares.get(s, 0.0) for s in active) or 0.0
-        for s in active:
-            deficits[s] = deficits.get(s, 0.0) + LENGTH * (shares.get(s, 0.0) / alive if alive else 1 / len(active))
-        while offset < LENGTH and left:
-            for _ in range(len(active)):
-                if deficits[active[0]] >= QUANTUM:
+    left = {s: sum(d[2] for d in q) for s, q in queues.items()}
+    turn = deque(sorted((s for s, n in left.items() if n), key=lambda s: (s is None, s or "")))
+    credit = dict.fromkeys(turn, 0.0)
+    arrears = {s: deficits.get(s, 0.0) for s in turn}
+    window = 0
+    while turn:
+        got: dict[str | None, int] = {}
+        space, first = LENGTH, True
+        while space:
+            live = [s for s in turn if left[s] and shares.get(s, 0.0) > 0] or [s for s in turn if left[s]]
+            if not live:
+                break
+            weight = {s: shares.get(s, 0.0) or (rest or {}).get(s) or 1e-9 for s in live}
+            if first:
+                scale = min(1.0, ARREARS / max(1e-9, sum(abs(arrears[s]) for s in live)))
+                for s in live:
+                    credit[s] += arrears[s] * scale
+                    arrears[s] -= arrears[s] * scale
+            gap = (space - sum(credit[s] for s in live)) / sum(weight.values())
+            for s in live:
+                credit[s] += gap * weight[s]
+            for s in live if first else ():  # what each is owed, in whole tokens
+                n = min(int(credit[s] + 1e-9), left[s], space)
+                if n >= min(QUANTUM, left[s]) and n > 0:
+                    got[s] = n
+                    credit[s], left[s], space = credit[s] - n, left[s] - n, space - n
+            for s in sorted((s for s in live if left[s]), key=lambda s: -credit[s]):  # what is left over, to those owed most
+                if not space:
                     break
-                active.rotate(-1)
-            else:  # the window's rest is less than a quantum: the source that is owed most takes it
-                owed = max(active, key=lambda s: deficits[s])
-                while active[0] != owed:
-                    active.rotate(-1)
-            s = active[0]
-            grant = min(LENGTH - offset, max(int(deficits[s]), LENGTH - offset if deficits[s] < QUANTUM else QUANTUM))
+                n = min(space, left[s], max(int(credit[s] + 1e-9), QUANTUM))
+                got[s] = got.get(s, 0) + n
+                credit[s], left[s], space = credit[s] - n, left[s] - n, space - n
+            first = False
+        offset = 0
+        for s, n in got.items():
             queue = queues[s]
-            while grant and queue:
-                row, start, n = queue[0]
-                take = min(n, grant)
+            while n:
+                row, start, have = queue[0]
+                take = min(have, n)
                 yield row, start, take, window, offset
-                offset, grant, left, deficits[s] = offset + take, grant - take, left - take, deficits[s] - take
-                if take == n:
+                offset, n = offset + take, n - take
+                if take == have:
                     queue.popleft()
                 else:
-                    queue[0] = [row, start + take, n - take]
-            if queue:
-                active.rotate(-1)
-            else:
-                active.popleft()
-        if offset == LENGTH:
-            window, offset = window + 1, 0
+                    queue[0] = [row, start + take, have - take]
+        window += 1
+        turn.rotate(-1)
+        if not all(left[s] for s in got):
+            turn = deque(s for s in turn if left[s])
+    deficits.update({s: credit[s] + arrears[s] for s in credit})
 
 
 def _cut_tail(pieces: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
@@ -194,54 +244,87 @@ def _cut_tail(pieces: list[tuple[int, int, int, int, int]]) -> list[tuple[int, i
 
 
 PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string, ids binary"
+DEALT_SCHEMA = "part bigint, doc_id bigint, source string, doc_tokens bigint, start bigint, place bigint, whole bigint, ids binary"
+
+
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    return pa.schema([(n, kinds[k]) for n, k in (f.split() for f in schema.split(", "))])
+
+
+def _key(source: str = "source"):
+    """A source's name that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
 
 
 def pack(docs: DataFrame, path: str, targets: dict[str | None, float] | None = None, with_ids: bool = True) -> DataFrame:
     """Pieces of all documents. targets: the share of tokens of each source in a window; by default the corpus's own."""
     spark = docs.sparkSession
-    rows = materialize(tokenized(docs, path), "tokens")
+    rows = materialize(tokenized(docs, path).withColumn("row", F.monotonically_increasing_id()), "tokens")
     total = rows.agg(F.sum("doc_tokens")).first()[0] or 0
     parts = max(partitions(spark), -(-total // PART_TOKENS))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
-    counts = rows.groupBy("part", "source").agg(F.sum("doc_tokens").alias("n"))
-    counts = materialize(counts, "part-counts")
-    wanted = counts.groupBy("source").agg((F.sum("n") / F.lit(float(max(total, 1)))).alias("share"))
-    if targets is not None:
-        given = spark.createDataFrame(list(targets.items()), "source string, share double")
-        wanted = wanted.select("source").join(given.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select("source", F.coalesce("share", F.lit(0.0)).alias("share"))
-    whole = counts.groupBy("part").agg(F.sum("n").alias("tokens")).withColumn("zero", F.lit(0))
-    before_all = whole.select("part", F.coalesce(F.sum("tokens").over(W.partitionBy("zero").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    grid = counts.join(before_all, "part")
-    before = F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    owed = grid.withColumn("had", before).join(wanted.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select("part", "source", "share", (F.col("share") * F.col("before") - F.col("had")).alias("deficit"))
-
-    def run(new: pa.Table, old: pa.Table) -> Iterator[pa.Table] | pa.Table:
-        new = new.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
-        sources, sizes, ids = new["source"].to_pylist(), new["doc_tokens"].to_pylist(), new["ids"]
-        if not sizes:
-            return pa.table({n: [] for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids")}, schema=_ARROW)
+    length = max(1, -(-total // (parts * LENGTH))) * LENGTH
+    # rows are dealt to buckets evenly, whatever their ids; a bucket's tokens of a source follow those of the buckets before
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
+    counts = materialize(rows.groupBy("bucket", _key().alias("key")).agg(F.sum("doc_tokens").alias("n")), "bucket-counts")
+    starts = running(counts, "key", "bucket", "n", parts)
+    named = None
+    if targets:
+        keys = {"" if s is None else f"={s}": s for s in targets}
+        named = {keys[r["key"]]: r["n"] for r in counts.filter(F.col("key").isin(list(keys))).groupBy("key").agg(F.sum("n").alias("n")).collect()}  # as many as there are targets
+    plan = Schedule(total, length, named, targets)
+    kind = tokenizer_of(path)[3]
+    width = np.dtype(kind).itemsize
+
+    def deal(new: pa.Table, old: pa.Table) -> pa.Table:
+        at = dict(zip(old["key"].to_pylist(), zip(old["before"].to_pylist(), old["whole"].to_pylist(), strict=True), strict=True))
+        place = {k: v[0] for k, v in at.items()}
+        new = new.sort_by("row")
+        out = [[] for _ in range(8)]
+        for doc_id, source, n, ids in zip(*(new[c].to_pylist() for c in ("doc_id", "source", "doc_tokens", "ids")), strict=True):
+            key = "" if source is None else f"={source}"
+            whole, begin, start = at[key][1], place[key], 0
+            place[key] += n
+            part = plan.part(source, whole, begin)
+            while start < n:
+                end = min(n, plan.cut(source, whole, part + 1)[0] - begin)
+                if end > start:
+                    for c, v in zip(out, (part, doc_id, source, n, start, begin + start, whole, ids[start * width : end * width]), strict=True):
+                        c.append(v)
+                    start = end
+                part += 1
+        schema = _arrow(DEALT_SCHEMA)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+    def run(t: pa.Table) -> pa.Table:
+        schema = _arrow(PIECE_SCHEMA)
+        t = t.sort_by([("source", "ascending"), ("place", "ascending")])
+        part, sources, wholes, begins = t["part"][0].as_py(), t["source"].to_pylist(), t["whole"].to_pylist(), t["start"].to_numpy()
+        raw = t["ids"].to_pylist()
         queues: dict[str | None, deque] = {}
-        for i, (s, n) in enumerate(zip(sources, sizes, strict=True)):
-            queues.setdefault(s, deque()).append([i, 0, n])
-        shares = dict(zip(old["source"].to_pylist(), old["share"].to_pylist(), strict=True))
-        owed = dict(zip(old["source"].to_pylist(), old["deficit"].to_pylist(), strict=True))
-        # a part can't make up for more than a window or so; larger debts would starve a source for long
-        deficits = {s: max(-float(LENGTH), min(float(LENGTH), owed.get(s, 0.0))) for s in queues}
-        pieces = list(fill(queues, shares, deficits))
-        full = sum(sizes) // LENGTH
+        rest, owed = {}, {}
+        for i, (s, w) in enumerate(zip(sources, wholes, strict=True)):
+            if s not in queues:
+                queues[s] = deque()
+                owed[s] = plan.cut(s, w, part)[1]
+                if s not in plan.targets:
+                    rest[s] = float(w)
+            queues[s].append([i, 0, len(raw[i]) // width])
+        full = sum(map(len, raw)) // width // LENGTH
+        pieces = list(fill(queues, plan.targets, owed, rest))
         cut = next((i for i, p in enumerate(pieces) if p[3] >= full), len(pieces))
         pieces[cut:] = _cut_tail(pieces[cut:])
-        rows, start, length, seq, offset = (np.array(c, dtype=np.int64) for c in zip(*pieces, strict=True))
-        raw = [x.as_buffer() for x in ids]
-        cuts = [memoryview(raw[r])[4 * a : 4 * (a + n)] for r, a, n in zip(rows.tolist(), start.tolist(), length.tolist(), strict=True)]
-        take = pa.array(rows)
-        return pa.table(
-            [new["doc_id"].take(take).combine_chunks(), pa.array(start), pa.array(length), pa.array([zlib.crc32(c) for c in cuts], pa.int64()), new["doc_tokens"].take(take).combine_chunks(), pa.array(seq + (new["part"][0].as_py() << 32)), pa.array(offset), new["source"].take(take).combine_chunks(), pa.array([bytes(c) for c in cuts] if with_ids else [None] * len(cuts), pa.binary())],
-            schema=_ARROW,
+        which, start, length, seq, offset = (np.array(c, dtype=np.int64) for c in zip(*pieces, strict=True))
+        crcs, cuts = [], []
+        for r, a, n in zip(which.tolist(), start.tolist(), length.tolist(), strict=True):
+            ids = np.frombuffer(raw[r], dtype=kind, count=n, offset=a * width).astype("<u4").tobytes()
+            crcs.append(zlib.crc32(ids))
+            cuts.append(ids if with_ids else None)
+        take = pa.array(which)
+        return pa.Table.from_arrays(
+            [t["doc_id"].take(take).combine_chunks(), pa.array(start + begins[which]), pa.array(length), pa.array(crcs, pa.int64()), t["doc_tokens"].take(take).combine_chunks(), pa.array(seq + (part << 32)), pa.array(offset), t["source"].take(take).combine_chunks(), pa.array(cuts, pa.binary())],
+            schema=schema,
         )
 
-    return rows.groupBy("part").cogroup(owed.groupBy("part")).applyInArrow(run, PIECE_SCHEMA)
-
-
-_ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("source", pa.string()), ("ids", pa.binary())])
-
+    dealt = rows.groupBy("bucket").cogroup(starts.groupBy("bucket")).applyInArrow(deal, DEALT_SCHEMA)
+    return dealt.groupBy("part").applyInArrow(run, PIECE_SCHEMA)

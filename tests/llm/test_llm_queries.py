@@ -34,7 +34,7 @@ def test_pipeline(spark, sf_dir):
     weights = pii.train(spark.createDataFrame(list(rows.items()), "doc_id bigint, text string"))
     masked = {i: pii.masked(t, pii.all_spans(t, weights, pii.base_spans(t))) for i, t in rows.items()}
     path = Q.vocabulary("byte_bpe_50k.json")
-    tokens = {i: len(x) // 4 + 1 for i, x in zip(masked, packing.encode(path, list(masked.values())), strict=True)}
+    tokens = {i: len(x) + 1 for i, x in zip(masked, packing.encode(path, list(masked.values())), strict=True)}
     got = Q.queries()["pipeline"](spark, sf_dir).collect()
     assert {r.doc_id: r.doc_tokens for r in got} == tokens
     assert sum(r.length for r in got) == sum(tokens.values())

@@ -226,6 +226,96 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), path).count() == 0
 
 
+UNEVEN = {f"s{i}": 1 / (i + 1) / sum(1 / (k + 1) for k in range(20)) for i in range(20)}
+
+
+def uneven_queues(total=300_000):
+    rnd, queues, source = random.Random(8), {}, []
+    for s, share in UNEVEN.items():
+        queues[s], n = packing.deque(), int(total * share)
+        while n:
+            take = min(n, rnd.randint(1, 5000))
+            queues[s].append([len(source), 0, take])
+            source.append(s)
+            n -= take
+    return queues, source
+
+
+@pytest.mark.parametrize("start", [{}, {s: -5000.0 for s in UNEVEN}, {s: 300.0 if i % 2 else -300.0 for i, s in enumerate(UNEVEN)}, {"s3": 8000.0}])
+def test_windows_of_twenty_uneven_sources(start):
+    """Against a plain loop over the pieces: every full window is near the targets, whatever sources were owed before."""
+    queues, source = uneven_queues()
+    want = {(r, t) for q in queues.values() for r, _, n in q for t in range(n)}
+    mix, seen, ends = defaultdict(Counter), set(), Counter()
+    for row, begin, n, window, offset in packing.fill(queues, UNEVEN, dict(start)):
+        assert ends[window] == offset
+        ends[window] += n
+        mix[window][source[row]] += n
+        seen.update((row, t) for t in range(begin, begin + n))
+    assert seen == want and all(n == 2048 for w, n in ends.items() if w < max(ends))
+    far = [sum(abs(mix[w][s] / 2048 - x) for s, x in UNEVEN.items()) / 2 for w in sorted(mix)][: len(mix) * 8 // 10]
+    assert np.median(far) <= 0.05 and max(far) <= 0.1
+    if not start:
+        assert max(far) <= 0.02
+
+
+def test_named_sources_come_first():
+    queues = {s: packing.deque([[10 * i + k, 0, 900] for k in range(10)]) for i, s in enumerate("ab")} | {None: packing.deque([[90, 0, 5000]])}
+    mix = defaultdict(Counter)
+    for row, _, n, window, _ in packing.fill(queues, {"a": 0.75, "b": 0.25}, {}, {None: 5000.0}):
+        mix[window][row // 10] += n
+    assert [mix[w][9] for w in range(8)] == [0] * 8 and all(abs(mix[w][0] - 1536) <= 8 for w in range(5)) and mix[max(mix)][9] > 0
+
+
+def test_schedule():
+    plan = packing.Schedule(1_000_000, 65_536, {"a": 200_000, "b": 100_000, "c": 0}, {"a": 0.5, "b": 0.5, "c": 3.0, "d": 1.0, "e": 0.0})
+    sizes = {"a": 200_000, "b": 100_000, "e": 400_000, None: 300_000}
+    ends = {s: [plan.cut(s, n, k)[0] for k in range(17)] for s, n in sizes.items()}
+    for s, n in sizes.items():
+        assert ends[s][0] == 0 and ends[s][-1] == n and ends[s] == sorted(ends[s])
+        for place in [0, 1, n // 3, n - 1, *(e for e in ends[s] if e < n)]:
+            k = plan.part(s, n, place)
+            assert ends[s][k] <= place < ends[s][k + 1]
+    for k in range(15):  # a part holds what it should, to a token of each source
+        assert abs(sum(ends[s][k + 1] - ends[s][k] for s in sizes) - 65_536) <= 4
+    assert ends["a"][1] == ends["b"][1] == 32_768 and ends["e"][4] == 0 and ends["a"][5] == 200_000
+
+
+def test_running_sums(spark, monkeypatch):
+    from loamline.llm import common
+
+    rnd = random.Random(9)
+    rows = [(k, i, rnd.randint(0, 9)) for k in "ab" for i in range(500) if rnd.random() < 0.7]
+    monkeypatch.setattr(common, "FAN", 7)
+    got = common.running(spark.createDataFrame(rows, "key string, i int, n bigint"), "key", "i", "n", 500).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.before == sum(n for k, i, n in rows if k == r.key and i < r.i) and r.whole == sum(n for k, _, n in rows if k == r.key)
+
+
+def test_packed_windows_follow_the_sources(spark):
+    """Parts have the corpus's mixture too, with null and repeated ids and a hot source."""
+    path = P.path("byte_bpe_50k.json")
+    rnd = random.Random(10)
+    rows = [(None if i % 3 else 7, "word " * rnd.randint(1, 900), "en", rnd.choice([None, "hot", "hot", "hot", "a", "b"]), 0) for i in range(600)]
+    got = packing.pack(spark.createDataFrame(rows, SCHEMA), path, with_ids=False).collect()
+    total, mix = Counter(), defaultdict(Counter)
+    for r in got:
+        total[r.source] += r.length
+        mix[r.sequence_id][r.source] += r.length
+    assert sum(total.values()) == sum(r[1].count("word") + 2 for r in rows)  # the last space is a token
+    full = [m for m in mix.values() if sum(m.values()) == 2048]
+    far = [sum(abs(m[s] / 2048 - total[s] / sum(total.values())) for s in total) / 2 for m in full]
+    assert len(full) > 50 and np.median(far) <= 0.02
+    shares = packing.pack(spark.createDataFrame(rows, SCHEMA), path, {"a": 0.5, None: 0.5}, with_ids=False).collect()
+    assert sum(r.length for r in shares) == sum(total.values())
+    early = defaultdict(Counter)
+    for r in shares:
+        early[r.sequence_id][r.source] += r.length
+    firsts = [early[w] for w in sorted(early)[: (total["a"] // 2048)]]
+    assert all(abs(m["a"] - 1024) <= 16 for m in firsts if sum(m.values()) == 2048 and not m["hot"])
+
+
 def test_windows_follow_the_shares():
     queues = {s: packing.deque([i * 100 + k, 0, 700] for k in range(60)) for i, s in enumerate("abc")}
     mix, left = defaultdict(Counter), {}
@@ -244,7 +334,7 @@ def test_windows_follow_the_shares():
 def test_encode_equals_the_library(texts):
     path = P.path("byte_bpe_50k.json")
     tok = packing.tokenizer_of(path)[0]
-    assert packing.encode(path, texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert [x.tolist() for x in packing.encode(path, texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 # Personal data.
