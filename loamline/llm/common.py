@@ -70,6 +70,16 @@ def running(df: DataFrame, key: str, at: str, value: str, top: int) -> DataFrame
     return own.join(above.select(key, up, F.col("before").alias("ahead"), "whole"), [key, up]).select(*df.columns, (F.col("ahead") + F.col("own")).alias("before"), "whole")
 
 
+def fresh(df: DataFrame, n: int = 1) -> list[str]:
+    """Names that no column of df has, in any case."""
+    taken, out, k = {c.lower() for c in df.columns}, [], 0
+    while len(out) < n:
+        if f"_{k}" not in taken:
+            out.append(f"_{k}")
+        k += 1
+    return out
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only; other letters stay."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

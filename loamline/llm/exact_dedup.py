@@ -2,12 +2,16 @@
 
 A document is known by the SHA-256 of its text. Distinct digests are dealt to shards; each shard holds a minimal
 perfect hash (levels of bit arrays, the collisions of one level go to the next), whose slots hold the full digest, the
-winner's id and the group's size. A lookup computes the slot and then compares all 32 bytes, so digests that aren't in
-the index are told apart from members; those are grouped by themselves and merged into the next index.
-
-Defined results: a null text counts as empty; of equal texts the row with the largest doc_id stays, a null doc_id is
-smaller than any other; of rows that repeat both text and doc_id exactly one is kept; an empty table gives no rows;
-other columns, whatever their names, are neither needed nor touched.
+winner's id, a locator of the winner's row, and the group's size. A table is taken in batches. The digests of a batch are
+looked up in the hash over all earlier ones: a lookup computes the slot and then compares all 32 bytes, so digests that
+aren't in the index are told apart from members. Members are repeats and only change their slot's winner and size; nonmembers
+are groups by themselves and go, with the members, into the next index, which always holds old and new digests. In
+the end every row is judged by its slot in the last index.
+
+Defined results: a null text counts as empty, an empty text equals other empty ones; texts are compared whole, whatever their
+length; of equal texts the row with the largest doc_id stays, a null doc_id is smaller than any other; of rows that repeat both
+text and doc_id exactly one is kept, and none if an earlier table had that row; an empty table gives no rows and leaves the
+history as it is; other columns, whatever their names, are neither needed nor touched.
 """
 
 from __future__ import annotations
@@ -16,18 +20,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, materialize, partitions
+from .common import HOT_SHARE, fresh, materialize, partitions
 
 #: Bits a key in each level of the hash, and levels at most; keys left after the last level are found by bisection.
 GAMMA, LEVELS = 1.5, 24
 #: Distinct digests a shard holds on average at most.
 SHARD_KEYS = 16_384
 
-INDEX_SCHEMA = "shard int, sizes array<int>, bits binary, slots binary, winners array<bigint>, counts array<bigint>"
-ROW_SCHEMA = "doc_id bigint, digest binary, keep_id bigint, group_size bigint, kept boolean"
+INDEX_SCHEMA = "shard int, shards int, sizes array<int>, bits binary, slots binary, winners array<bigint>, locators array<bigint>, counts array<bigint>"
+GROUP_SCHEMA = "digest binary, winner bigint, locator bigint, size bigint"
+ROW_SCHEMA = "doc_id bigint, digest binary, keep_id bigint, group_size bigint, kept boolean, seen boolean"
+#: The locator of a winner that isn't a row of the table at hand, but of an earlier one.
+ELSEWHERE = -1
 
 
 def _words(digests: list[bytes]) -> np.ndarray:
@@ -96,17 +103,17 @@ class PerfectHash:
 class Shard:
     """One shard of the index: lookups are checked byte for byte."""
 
-    def __init__(self, sizes, bits, slots, winners, counts):
+    def __init__(self, sizes, bits, slots, winners, locators, counts):
         self.hash, self.slots = PerfectHash(sizes, bits), np.frombuffer(slots, dtype="<u8").reshape(-1, 4)
-        self.winners, self.counts = winners, counts
+        self.winners, self.locators, self.counts = winners, locators, counts
         self.tail = int(self.hash.flat.sum())
 
     @classmethod
-    def build(cls, digests: list[bytes], winners: list[int | None], counts: list[int]) -> Shard:
+    def build(cls, digests: list[bytes], winners: list[int | None], locators: list[int], counts: list[int]) -> Shard:
         words = _words(digests)
         found, slot = PerfectHash.build(words)
         order = np.argsort(slot)
-        return cls(found.sizes, found.packed(), words[order].tobytes(), [winners[i] for i in order], [counts[i] for i in order])
+        return cls(found.sizes, found.packed(), words[order].tobytes(), *([x[i] for i in order] for x in (winners, locators, counts)))
 
     def find(self, digests: list[bytes]) -> np.ndarray:
         """The slots that hold these digests, -1 for nonmembers."""
@@ -121,118 +128,215 @@ class Shard:
                 at[i], same[i] = self.tail + hit[0], True
         return np.where(same, at, -1)
 
+    def digests(self) -> list[bytes]:
+        raw = self.slots.tobytes()
+        return [raw[i : i + 32] for i in range(0, len(raw), 32)]
 
-def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and digest of every row."""
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)).alias("digest"))
+    def extended(self, digests: list[bytes], winners: list[int | None], locators: list[int], counts: list[int]) -> Shard:
+        """The shard with more groups: members change their slot (of equal winners the earlier one stays), nonmembers get one."""
+        at = self.find(digests)
+        own = [list(x) for x in (self.winners, self.locators, self.counts)]
+        for i in np.flatnonzero(at >= 0).tolist():
+            k = at[i]
+            if winners[i] is not None and (own[0][k] is None or winners[i] > own[0][k]):
+                own[0][k], own[1][k] = winners[i], locators[i]
+            own[2][k] += counts[i]
+        new = np.flatnonzero(at < 0).tolist()
+        if not new:
+            return Shard(self.hash.sizes, self.hash.packed(), self.slots.tobytes(), *own)
+        return Shard.build(self.digests() + [digests[i] for i in new], *(x + [y[i] for i in new] for x, y in zip(own, (winners, locators, counts), strict=True)))
 
+    def row(self, shard: int, shards: int) -> dict:
+        return {"shard": shard, "shards": shards, "sizes": self.hash.sizes, "bits": self.hash.packed(), "slots": self.slots.tobytes(), "winners": self.winners, "locators": self.locators, "counts": self.counts}
 
-def distinct_digests(rows: DataFrame) -> DataFrame:
-    """digest, winner, size of each group; combined before the shuffle, so a group of any size sends a row a task."""
-    return rows.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count(F.lit(1)).alias("size"))
 
+_INDEX = pa.schema([("shard", pa.int32()), ("shards", pa.int32()), ("sizes", pa.list_(pa.int32())), ("bits", pa.binary()), ("slots", pa.binary()), ("winners", pa.list_(pa.int64())), ("locators", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
 
-def _with_shard(df: DataFrame, shards: int) -> DataFrame:
-    return df.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int"))
+
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
-def build_index(groups: DataFrame, shards: int) -> DataFrame:
-    """One row a shard. groups: digest, winner, size, each digest once."""
+def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, digest and a number (row) of every row, once the table is written."""
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), digest_of(F.col(text_col)).alias("digest"), F.monotonically_increasing_id().alias("row"))
+
+
+def distinct_digests(rows: DataFrame) -> DataFrame:
+    """digest, winner, its row, size of each group; combined before the shuffle, so a group of any size sends a row a task."""
+    found = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("size"))
+    return found.select("digest", F.col("best.doc_id").alias("winner"), F.col("best.row").alias("locator"), "size")
 
-    def build(t: pa.Table) -> pa.Table:
-        s = Shard.build(t["digest"].to_pylist(), t["winner"].to_pylist(), t["size"].to_pylist())
-        return pa.table({"shard": pa.array([t["shard"][0].as_py()], pa.int32()), "sizes": pa.array([s.hash.sizes], pa.list_(pa.int32())), "bits": pa.array([s.hash.packed()], pa.binary()), "slots": pa.array([s.slots.tobytes()], pa.binary()), "winners": pa.array([s.winners], pa.list_(pa.int64())), "counts": pa.array([s.counts], pa.list_(pa.int64()))})
 
-    return _with_shard(groups, shards).groupBy("shard").applyInArrow(build, INDEX_SCHEMA)
+def _with_shard(df: DataFrame, shards: int) -> DataFrame:
+    return df.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int"))
 
 
 def _shard_of(index: pa.Table) -> Shard | None:
     if not index.num_rows:
         return None
     r = index.slice(0, 1).to_pylist()[0]
-    return Shard(r["sizes"], r["bits"], r["slots"], r["winners"], r["counts"])
+    return Shard(r["sizes"], r["bits"], r["slots"], r["winners"], r["locators"], r["counts"])
+
+
+def _columns(t: pa.Table) -> list[list]:
+    return [t[c].to_pylist() for c in ("digest", "winner", "locator", "size")]
+
+
+def empty_index(spark) -> DataFrame:
+    return spark.createDataFrame([], INDEX_SCHEMA)
+
+
+def extend_index(groups: DataFrame, index: DataFrame, shards: int) -> DataFrame:
+    """The index that holds the digests of index (of as many shards) and those of groups (each digest once)."""
+
+    def extend(new: pa.Table, old: pa.Table) -> pa.Table:
+        shard = _shard_of(old)
+        number = (new if new.num_rows else old)["shard"][0].as_py()
+        if not new.num_rows:
+            return old.select(_INDEX.names).cast(_INDEX)
+        shard = shard.extended(*_columns(new)) if shard else Shard.build(*_columns(new))
+        return pa.Table.from_pylist([shard.row(number, shards)], schema=_INDEX)
+
+    return _with_shard(groups, shards).groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(extend, INDEX_SCHEMA)
+
+
+def index_groups(index: DataFrame) -> DataFrame:
+    """The groups that an index holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                s = _shard_of(pa.Table.from_batches([b.slice(i, 1)]))
+                yield pa.RecordBatch.from_arrays([pa.array(s.digests(), pa.binary()), *(pa.array(x, pa.int64()) for x in (s.winners, s.locators, s.counts))], ["digest", "winner", "locator", "size"])
+
+    return index.mapInArrow(run, GROUP_SCHEMA)
 
 
-def merge_history(groups: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """Groups of new rows looked up in the index of earlier ones: members join their group, nonmembers stay groups of
-    their own. Returns digest, winner, size, seen (in the index before)."""
+def group_facts(groups: DataFrame, index: DataFrame, shards: int) -> DataFrame:
+    """digest, winner, locator and size in the index of each group, and its size in groups (here)."""
 
     def look(new: pa.Table, old: pa.Table) -> pa.Table:
-        shard, digests = _shard_of(old), new["digest"].to_pylist()
+        shard, (digests, _, _, sizes) = _shard_of(old), _columns(new)
         at = shard.find(digests) if shard else np.full(len(digests), -1)
-        winners, sizes = new["winner"].to_pylist(), new["size"].to_pylist()
-        for i, k in enumerate(at):
-            if k >= 0:
-                had = shard.winners[k]
-                winners[i] = had if winners[i] is None else winners[i] if had is None else max(winners[i], had)
-                sizes[i] += shard.counts[k]
-        return pa.table({"digest": pa.array(digests, pa.binary()), "winner": pa.array(winners, pa.int64()), "size": pa.array(sizes, pa.int64()), "seen": pa.array(at >= 0)})
+        if (at < 0).any():
+            raise ValueError("a digest isn't in the index")
+        return pa.table({"digest": pa.array(digests, pa.binary()), "winner": pa.array([shard.winners[k] for k in at], pa.int64()), "locator": pa.array([shard.locators[k] for k in at], pa.int64()), "size": pa.array([shard.counts[k] for k in at], pa.int64()), "here": pa.array(sizes, pa.int64())})
 
-    return _with_shard(groups, shards).groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(look, "digest binary, winner bigint, size bigint, seen boolean")
+    return _with_shard(groups, shards).groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(look, GROUP_SCHEMA + ", here bigint")
 
 
-def look_up(rows: DataFrame, index: DataFrame, shards: int, hot: list[tuple[bytes, int | None, int]]) -> DataFrame:
-    """Every row with the winner and the size of its group.
+def look_up(rows: DataFrame, index: DataFrame, shards: int, history: DataFrame, hot: list[tuple[bytes, int | None, int, int, bool]]) -> DataFrame:
+    """Every row with the winner and the size of its group, and whether history (an index of as many shards) knew its text.
 
-    rows: doc_id, digest. hot: digests with so many rows that one shard's task would get too many (at most
-    1 / HOT_SHARE of them); they are found before the shuffle, in a small perfect hash of their own, and dealt by doc_id.
+    rows: doc_id, digest, row. hot: digests with so many rows that one shard's task would get too many (fewer than
+    1 / HOT_SHARE of them), with winner, locator, size and whether history knew them; they are found where they lie, in
+    a small perfect hash of their own, and not shuffled at all.
     """
-    small = Shard.build([h[0] for h in hot], [h[1] for h in hot], [h[2] for h in hot]) if hot else None
-    schema = "doc_id bigint, digest binary, hot_keep bigint, hot_size bigint"
+    small = Shard.build([h[0] for h in hot], [h[1] for h in hot], [h[2] for h in hot], [h[3] for h in hot]) if hot else None
+    known = {h[0] for h in hot if h[4]}
 
-    def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = small.find(b.column("digest").to_pylist()) if small else np.full(b.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array([small.winners[k] if k >= 0 else None for k in at], pa.int64()), pa.array([small.counts[k] if k >= 0 else None for k in at], pa.int64())], ["doc_id", "digest", "hot_keep", "hot_size"])
+    def judged(b, shard: Shard, at: np.ndarray, seen: list[bool]) -> list[pa.Array]:
+        where = b.column("row").to_pylist()
+        return [b.column("doc_id"), b.column("digest"), pa.array([shard.winners[k] for k in at], pa.int64()), pa.array([shard.counts[k] for k in at], pa.int64()), pa.array([shard.locators[k] == r for k, r in zip(at, where, strict=True)], pa.bool_()), pa.array(seen, pa.bool_())]
+
+    names = ["doc_id", "digest", "keep_id", "group_size", "kept", "seen"]
+
+    def split(found: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = small.find(b.column("digest").to_pylist())
+                b = b.filter(pa.array((at >= 0) == found))
+                if found:
+                    b = pa.RecordBatch.from_arrays(judged(b, small, at[at >= 0], [d in known for d in b.column("digest").to_pylist()]), names)
+                yield b
+
+        return run
 
     def look(new: pa.Table, old: pa.Table) -> pa.Table:
-        shard, ids, digests = _shard_of(old), new["doc_id"].to_pylist(), new["digest"].to_pylist()
-        keep, size = new["hot_keep"].to_pylist(), new["hot_size"].to_pylist()
-        rest = [i for i, n in enumerate(size) if n is None]
-        if rest and shard is None:
+        shards_of = {r["early"]: Shard(r["sizes"], r["bits"], r["slots"], r["winners"], r["locators"], r["counts"]) for r in old.to_pylist()} if new.num_rows else {}
+        new = new.combine_chunks()
+        digests = new["digest"].to_pylist()
+        at = shards_of[False].find(digests) if False in shards_of else np.full(len(digests), -1)
+        if (at < 0).any():
             raise ValueError("a digest isn't in the index")
-        for i, k in zip(rest, shard.find([digests[i] for i in rest]) if rest else (), strict=True):
-            if k < 0:
-                raise ValueError("a digest isn't in the index")
-            keep[i], size[i] = shard.winners[k], shard.counts[k]
-        had, kept = set(), []
-        for i, d, k in zip(ids, digests, keep, strict=True):
-            kept.append(i == k and d not in had)
-            if i == k:
-                had.add(d)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "digest": pa.array(digests, pa.binary()), "keep_id": pa.array(keep, pa.int64()), "group_size": pa.array(size, pa.int64()), "kept": pa.array(kept, pa.bool_())})
-
-    dealt = rows.select("doc_id", "digest").mapInArrow(at_once, schema)
-    own = F.pmod(F.xxhash64("digest"), F.lit(shards))
-    salted = -1 - F.pmod(F.xxhash64("doc_id"), F.lit(shards))  # no shard of the index has a negative number
-    dealt = dealt.withColumn("shard", F.when(F.col("hot_size").isNull(), own).otherwise(salted).cast("int"))
-    return dealt.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(look, ROW_SCHEMA)
-
-
-def exact_dedup(docs: DataFrame, history: DataFrame | None = None, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, index): every row of docs with keep_id, group_size, kept; and the index that the next batch takes as history.
-
-    history: an index that an earlier call returned, with the same number of shards; its documents count in the groups
-    and can win, so a new row that repeats an earlier document with a larger id isn't kept.
+        if not new.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()), strict=True)})
+        seen = (shards_of[True].find(digests) >= 0).tolist() if True in shards_of else [False] * len(digests)
+        return pa.Table.from_arrays(judged(new, shards_of[False], at, seen), names=names)
+
+    rows = rows.select("doc_id", "digest", "row")
+    cold = rows.mapInArrow(split(False), rows.schema) if hot else rows
+    both = index.withColumn("early", F.lit(False)).unionByName(history.withColumn("early", F.lit(True)))
+    out = _with_shard(cold, shards).groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(look, ROW_SCHEMA)
+    return out.unionByName(rows.mapInArrow(split(True), ROW_SCHEMA)) if hot else out
+
+
+def exact_dedup(docs: DataFrame, history: DataFrame | None = None, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(rows, index): every row of docs with keep_id, group_size, kept and seen; and the index that the next table takes as history.
+
+    history: an index that an earlier call returned; its documents count in the groups and can win, so a new row that
+    repeats an earlier document with a larger id isn't kept. seen: whether the text was in the index when the row's batch
+    came. shards: of the index; by default as many as history has, or more once its shards have grown too large; it is
+    dealt anew where the number changes. batches: docs are taken in so many, by a hash of the id.
     """
-    rows = materialize(text_digests(docs, id_col, text_col), "digests")
+    spark = docs.sparkSession
+    rows = materialize(text_digests(docs, id_col, text_col).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "digests")
     total = rows.count()
-    shards = shards or max(4 * partitions(docs.sparkSession), -(-total // SHARD_KEYS))
-    groups = distinct_digests(rows)
+    had, keys = 0, 0
     if history is not None:
-        groups = merge_history(groups, history, shards).select("digest", "winner", "size")
-    groups = materialize(groups, "digest-groups")
-    index = materialize(build_index(groups, shards), "digest-index")
-    hot = [tuple(r) for r in groups.filter(F.col("size") > max(1, int(total * HOT_SHARE))).select(F.col("digest"), "winner", "size").collect()] if total else []
-    hot = [(bytes(d), w, n) for d, w, n in sorted(hot, key=lambda r: -r[2])[: int(1 / HOT_SHARE)]]
-    return look_up(rows, index, shards, hot), index
-
-
-def drop_repeats(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_dedup doesn't keep; all columns stay."""
-    kept = exact_dedup(docs)[0].filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    left = docs.withColumns({"_id": F.col("doc_id").cast("bigint"), "_digest": digest})
-    joined = left.join(kept.hint("merge"), left["_id"].eqNullSafe(kept["_id"]) & (left["_digest"] == kept["_digest"]), "left_semi")
-    once = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy("_id"))
-    return joined.withColumn("_once", once).filter("_once = 1").select(docs.columns)
+        first = history.agg(F.max("shards"), F.min("shards"), F.sum(F.size("winners"))).first()
+        had, keys = first[0] or 0, first[2] or 0
+        if had != (first[1] or 0):
+            raise ValueError("the shards of the history belong to different indexes")
+    if not shards:
+        shards = had or max(4 * partitions(spark), -(-total // SHARD_KEYS))
+        if keys + total > 4 * SHARD_KEYS * shards:
+            shards = -(-(keys + total) // SHARD_KEYS)
+    index = empty_index(spark)
+    if had:
+        old = index_groups(history).withColumn("locator", F.lit(ELSEWHERE).cast("bigint"))
+        index = materialize(extend_index(old, index, shards), "digest-index")
+    groups = materialize(rows.groupBy("batch", "digest").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("size")).select("batch", "digest", F.col("best.doc_id").alias("winner"), F.col("best.row").alias("locator"), "size"), "digest-groups")
+    before = []
+    for k in range(batches):
+        before.append(index)
+        index = materialize(extend_index(groups.filter(F.col("batch") == k).drop("batch"), index, shards), "digest-index")
+    out = None
+    for k in range(batches):
+        own = groups.filter(F.col("batch") == k).drop("batch")
+        large = own.filter(F.col("size") > max(1, int(total * HOT_SHARE)))  # fewer than 1 / HOT_SHARE of all digests
+        hot = []
+        if total:
+            known = {bytes(r[0]) for r in look_known(large, before[k], shards).collect()}
+            hot = [(bytes(r.digest), r.winner, r.locator, r.size, bytes(r.digest) in known) for r in group_facts(large, index, shards).collect()]
+        part = look_up(rows.filter(F.col("batch") == k), index, shards, before[k], sorted(hot))
+        out = part if out is None else out.unionByName(part)
+    return out, index
+
+
+def look_known(groups: DataFrame, index: DataFrame, shards: int) -> DataFrame:
+    """The digests of groups that are members of the index."""
+
+    def look(new: pa.Table, old: pa.Table) -> pa.Table:
+        shard, digests = _shard_of(old), new["digest"].to_pylist()
+        at = shard.find(digests) if shard else np.full(len(digests), -1)
+        return pa.table({"digest": pa.array([d for d, k in zip(digests, at, strict=True) if k >= 0], pa.binary())})
+
+    return _with_shard(groups, shards).groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(look, "digest binary")
+
+
+def drop_repeats(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that exact_dedup doesn't keep; all columns stay, whatever their names.
+
+    Rows are known by digest and id. Rows that repeat both are brought down to one where they lie before anything is
+    shuffled, so texts go through one shuffle, in which no key is hot.
+    """
+    row_key, kept_key = fresh(docs, 2)
+
+    def key(doc_id: Column, digest: Column) -> Column:
+        return F.concat(digest, F.coalesce(doc_id.cast("bigint").cast("string"), F.lit("")).cast("binary"))
+
+    kept = exact_dedup(docs, history, id_col=id_col, text_col=text_col)[0].filter("kept").select(key(F.col("doc_id"), F.col("digest")).alias(kept_key))
+    once = docs.withColumn(row_key, key(F.col(id_col), digest_of(F.col(text_col)))).dropDuplicates([row_key])
+    return once.join(kept.hint("merge"), F.col(row_key) == F.col(kept_key), "left_semi").drop(row_key)

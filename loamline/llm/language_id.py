@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, join_uneven, materialize
-from .html_text import main_text
+from .html_text import RAW, Scanner, main_text
 from .url_filters import host_of, path_of
 
 #: Labelled documents of a language for the trigram model (about, where it has more), buckets for trigrams.
@@ -34,13 +34,20 @@ INDEPENDENT = 40.0
 SMOOTH = 5.0
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-#: The language of an html tag; comments and elements whose content is no markup are passed over.
-_LANG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea)\b.*?(?:</\1\b|\Z)|<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I | re.S)
+_LANG = re.compile(r"\blang\s*+=\s*+[\"']?([A-Za-z]{2,3})", re.I)
 
 
 def declared_language(page: str | None) -> str | None:
     """What the page's first html tag with a language says, wherever it stands."""
-    return next((m.group(2).lower() for m in _LANG.finditer(page or "") if m.group(2)), None)
+    scanner = Scanner(page or "")
+    for _, tag, closing, attrs in scanner:
+        if closing:
+            continue
+        if tag == "html" and (m := _LANG.search(attrs)):
+            return m.group(1).lower()
+        if tag in RAW and not attrs.rstrip().endswith("/") and not scanner.skip(tag) and tag not in ("option", "button", "object"):
+            return None
+    return None
 
 
 def trigrams(text: str | None) -> np.ndarray:

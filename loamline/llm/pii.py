@@ -7,8 +7,10 @@ without any true labels; its posteriors then train a logistic classifier on feat
 every candidate. The four base kinds (email, ip, card, phone) are facts of a format and always stay; the classifier
 decides about the other kinds: secret, ssn, iban, mac, ipv6, name.
 
-Defined results: null texts count as empty; spans are in code points, end exclusive; repeated rows each get their spans;
-other columns stay as they are in ``redact``.
+Defined results: null and empty texts have no spans; spans are in code points, end exclusive, of any length, and are found in
+time that grows with the text's length; of candidates that overlap the one listed first stays (base kinds, then the order
+of candidates); a score of exactly 0 adds the span; repeated rows each get their spans; an empty table gives no rows and
+trains to the untrained weights; other columns, whatever their names, aren't read by ``find_spans`` and stay as they are in ``redact``.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,19 +30,25 @@ from pyspark.sql import functions as F
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "ssn", "iban", "mac", "ipv6", "name")
 
-# The base patterns, and what labelers look for.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# The base patterns, and what labelers look for. None of them goes back over a text more than once: runs of
+# characters are possessive, and an address is looked for from its @, a number from its first digit.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+HOST = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MORE = {
-    "secret": re.compile(r"(?i:\b[a-z_-]*(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[a-z_-]*\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<key>[^\s\"',;]{6,})[\"']?)|\b(?P<aws>(?:AKIA|ASIA)[A-Z0-9]{12,})\b|\b(?P<git>gh[pousr]_[A-Za-z0-9]{20,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{30,})\b|\b(?P<hex>(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,})\b"),
+    "secret": re.compile(r"\b(?P<aws>(?:AKIA|ASIA)[A-Z0-9]{12,}+)\b|\b(?P<git>gh[pousr]_[A-Za-z0-9]{20,}+|xox[abpr]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}+|AIza[A-Za-z0-9_-]{30,})\b|\b(?P<hex>[0-9a-f]{32,}+)\b"),
     "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     "iban": re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b"),
     "mac": re.compile(r"\b[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}\b"),
     "ipv6": re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"),
-    "name": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra?)\.? [A-ZÀ-Þ][a-zß-ÿ]+(?: [A-ZÀ-Þ][a-zß-ÿ]+){0,2}"),
+    "name": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra?)\.? [A-ZÀ-Þ][a-zß-ÿ]++(?: [A-ZÀ-Þ][a-zß-ÿ]++){0,2}"),
 }
+#: A value that is given to something, from the sign on; and names of things that hold secrets.
+GIVEN_VALUE = re.compile(r"[:=]\s{0,3}[\"']?(?P<key>[^\s\"',;]{6,}+)")
+CUE = re.compile(r"(?i)passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth")
+NAME = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_-"
 HINTS = {
     "secret": "password passwort passwd pwd secret token key apikey api_key credential credentials login contraseña clave motdepasse auth",
     "ssn": "ssn social security tax id",
@@ -53,7 +62,6 @@ GIVEN = frozenset("James Mary John Patricia Robert Jennifer Michael Linda David
 
 _NEAR = re.compile(r"[^\W\d]+")
 _DIGIT = re.compile(r"[0-9]")
-_CUE = re.compile(r"(?i)passw|pwd|secret|token|api[_-]?key|access[_-]?key|auth")
 
 
 def luhn(digits: str) -> bool:
@@ -69,8 +77,15 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """start, end, kind by start, then kind as listed."""
     out: list[tuple[int, int, str]] = []
-    if "@" in text:
-        out += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
+    done, at = 0, text.find("@")
+    while at >= 0:
+        part = text[done:at]  # no part of a local name lies before the @ before this one, or inside the address before
+        begin = done + len(part.rstrip(LOCAL))
+        done, m = at + 1, HOST.match(text, at) if begin < at else None
+        if m:
+            out.append((begin, m.end(), "email"))
+            done = m.end()
+        at = text.find("@", done)
     if "+" in text:
         out += [(m.start(), m.end(), "phone") for m in PHONE.finditer(text) if 9 <= len(_DIGIT.findall(m.group())) <= 15]
     if _DIGIT.search(text):
@@ -84,17 +99,35 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def given_values(text: str) -> Iterator[tuple[int, int]]:
+    """Values that follow a sign of assignment after the name of something that holds secrets."""
+    done, m = 0, GIVEN_VALUE.search(text)
+    while m:
+        # the name ends at the sign, but for up to three spaces and a quote, and begins after the sign before
+        name = text[done : m.start()]
+        bare = name.rstrip()
+        named = bare[:-1] if bare.endswith(("'", '"')) else bare
+        if len(name) - len(bare) <= 3 and CUE.search(named[len(named.rstrip(NAME)) :]):
+            yield m.span("key")
+            done = m.end()
+        else:
+            done = m.start() + 1
+        m = GIVEN_VALUE.search(text, done)
+
+
 def candidates(text: str) -> list[tuple[int, int, str, str]]:
     """start, end, kind and form of every candidate of the kinds beyond the base."""
     out = []
     digits = bool(_DIGIT.search(text))
+    if CUE.search(text):
+        out += [(a, b, "secret", "key") for a, b in given_values(text)]
     for kind, pattern in MORE.items():
-        if kind == "secret" and not digits and not _CUE.search(text) or kind not in ("secret", "name") and not digits:
+        if kind != "name" and not digits:
             continue
         for m in pattern.finditer(text):
             form = m.lastgroup or kind
-            a, b = m.span(form) if form in (m.groupdict() or ()) else m.span()
-            out.append((a, b, kind, form))
+            if form != "hex" or _DIGIT.search(m.group()) and not m.group().isdecimal():
+                out.append((*m.span(), kind, form))
     return out
 
 
@@ -214,12 +247,21 @@ def train(docs: DataFrame) -> np.ndarray:
 
 def all_spans(text: str, weights: np.ndarray, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Base spans and the spans that the classifier adds; what overlaps a span already there isn't added."""
-    out, taken = list(base), [(a, b) for a, b, _ in base]
+    out, begins, ends = list(base), [], []
+    for a, b, _ in base:  # what is taken, without overlaps, by start
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
     for a, b, kind, form in candidates(text):
-        score = float(np.dot(weights, features(kind, form, votes(text, a, b, kind, form), b - a)))
-        if score >= 0 and not any(a < f and e < b for e, f in taken):
+        at = bisect_right(ends, a)  # the first that ends after a
+        if at < len(begins) and begins[at] < b:
+            continue
+        if float(np.dot(weights, features(kind, form, votes(text, a, b, kind, form), b - a))) >= 0:
             out.append((a, b, kind))
-            taken.append((a, b))
+            begins.insert(at, a)
+            ends.insert(at, b)
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -7,9 +7,11 @@ in toxic ones for chance, given how many candidates there are, and copies of a d
 the most specific one that covers as much stays. Phrases in which an entry is harmless are learned as exceptions and cancel the
 hits they cover. The sum of the weights, by itself and normalised by the length in words, goes through a logistic curve.
 
-Learning takes a bounded sample of labelled rows (``SAMPLE``, by hash of the id). Defined results: null and empty texts
-have no hits and get the curve's value there; without labels of both sorts a text's score is the share of toxic labels
-(a half without any); repeated rows are each scored.
+Learning takes a bounded sample of labelled rows (``SAMPLE``, by hash of the id); entries and exceptions are as many as pass their
+tests. Defined results: null and empty texts have no hits and get the curve's value there; long texts are scored whole, in time that
+grows with their length; without labels of both sorts a text's score is the share of toxic labels
+(a half without any); a document labelled both ways counts as both; of equally good entries the longer comes first, then by the
+alphabet; repeated rows are each scored; an empty table gives no rows; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, fresh, materialize
 from .near_dup import shingles
 from .pii import fit_logistic
 
@@ -34,8 +38,8 @@ SAMPLE = 20_000
 SHARE, LEAST, ODDS = 0.02, 3, 2.0
 #: Chance entries that may be expected in the whole lexicon.
 CHANCE = 0.01
-#: Beginnings of words that may be entries; entries and exceptions at most.
-BEGINNINGS, ENTRIES = (3, 4, 5, 6, 7, 8), 2000
+#: Beginnings of words that may be entries.
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
 #: A phrase seen this often with at most this share of toxic rows is an exception.
 PHRASE_ROWS, PHRASE_TOXIC = 5, 0.1
 
@@ -47,14 +51,21 @@ LOOKALIKES = {
 SIGNS = str.maketrans("013457@$!|€", "oieastasile")
 
 _TABLE = str.maketrans(LOOKALIKES | {c: " " for c in ".,;:?\"'()[]{}<>/\\\n\r\t\v\f_-*#%&=~^`«»“”„‘’…–—"} | {c: None for c in "​‌‍⁠﻿­"})
-_SIGNED = re.compile(r"\S*[0-9@$!|€]\S*")
 _LETTER = re.compile(r"[^\W\d_]")
-_ENDS = re.compile(r"^[!|@$€]+|[!|]+$")
 _ONLY = re.compile(r"[^\W\d_]+")
-
-
-def _unsign(m: re.Match) -> str:
-    word = _ENDS.sub(lambda e: e.group() if e.start() == 0 and e.group()[-1] in "@$€" else " ", m.group())
+_SIGN = re.compile(r"[0-9@$!|€]")
+
+
+def _unsign(word: str) -> str:
+    """The word with digits and signs that stand for letters read as letters, if it has two letters or more."""
+    if not _SIGN.search(word):
+        return word
+    inner = word.lstrip("!|@$€")
+    head = word[: len(word) - len(inner)]
+    if head and head[-1] not in "@$€":
+        head = " "
+    bare = inner.rstrip("!|")
+    word = head + bare + (" " if len(bare) < len(inner) else "")
     return word.translate(SIGNS) if len(_LETTER.findall(word)) >= 2 else word
 
 
@@ -63,10 +74,10 @@ def fold(text: str | None) -> str:
     text = text or ""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    text = text.lower().translate(_TABLE)
+    words = text.lower().translate(_TABLE).split()
     if any(c in text for c in "0123456789@$!|€"):
-        text = _SIGNED.sub(_unsign, text)
-    return f" {' '.join(text.split())} "
+        words = " ".join(map(_unsign, words)).split()
+    return f" {' '.join(words)} "
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -98,20 +109,21 @@ def _sketch(text: str | None) -> int:
     return int(found[0] >> np.uint64(1)) if len(found) else 0
 
 
-def choose_entries(counts: list[tuple[str, int, int, int, int]], toxic: int, clean: int, toxic_words: int, clean_words: int) -> dict[str, float]:
-    """Entries and weights from (candidate, toxic rows with it, other rows with it, its occurrences in either)."""
+def choose_entries(counts: list[tuple[str, int, int, int, int]], toxic: int, clean: int, toxic_words: int, clean_words: int, among: int) -> dict[str, float]:
+    """Entries and weights from (candidate, toxic rows with it, other rows with it, its occurrences in either). among: how many
+    candidates are tried."""
     good, share = [], toxic / (toxic + clean)
-    needed = math.log(max(1, len(counts)) / CHANCE)
+    needed = math.log(max(1, among) / CHANCE)
     for entry, t, c, t_n, c_n in counts:
         odds = math.log((t_n + 0.5) / (toxic_words + 1)) - math.log((c_n + 0.5) / (clean_words + 1))
         if t >= max(LEAST, SHARE * toxic) and odds >= ODDS and t / toxic > c / max(clean, 1) and surprise(t, t + c, share) >= needed:
             good.append((-round(math.log(t_n * odds) * 10), -len(entry.strip()) - (entry[-1] == " "), entry, odds))
     out: dict[str, float] = {}
+    inner: set[str] = set()  # beginnings of the chosen ones
     for _, _, entry, odds in sorted(good):
-        if not any(entry.startswith(e) or e.startswith(entry) for e in out):
+        if entry not in inner and not any(entry[:k] in out for k in range(1, len(entry))):
             out[entry] = odds
-        if len(out) == ENTRIES:
-            break
+            inner.update(entry[:k] for k in range(1, len(entry) + 1))
     return out
 
 
@@ -139,7 +151,11 @@ class Matcher:
                 safe.append((end + 1 - n, end + 1))
             else:
                 found.append((end + 1 - n, end + 1, w, e))
-        return [h for h in found if not any(a <= h[0] and h[1] <= b for a, b in safe)]
+        if not safe:
+            return found
+        safe.sort()
+        begins, reach = [a for a, _ in safe], np.maximum.accumulate([b for _, b in safe]).tolist()
+        return [h for h in found if not (k := bisect_right(begins, h[0])) or reach[k - 1] < h[1]]
 
     def measures(self, folded: str) -> list[float]:
         total = sum(h[2] for h in self.hits(folded))
@@ -149,10 +165,9 @@ class Matcher:
 def _phrases(folded: str, start: int, end: int) -> list[str]:
     """The hit's whole word with the word before it, and with the word after."""
     word_end = folded.index(" ", max(start + 1, end - 1))
-    after = folded[word_end:].split(None, 1)[:1]
-    before = folded[:start].rsplit(None, 1)[-1:]
     word = folded[start:word_end].strip()
-    return [f" {w} {word} " for w in before] + [f" {word} {w} " for w in after]
+    before, after = folded[folded.rfind(" ", 0, start) + 1 : start] if start else "", folded[word_end + 1 : folded.find(" ", word_end + 1)] if word_end + 1 < len(folded) else ""
+    return [f" {before} {word} "] * bool(before) + [f" {word} {after} "] * bool(after)
 
 
 class Model:
@@ -165,62 +180,69 @@ class Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, train_rows: Column | None = None, sample: int = SAMPLE) -> Model:
-    """labels: doc_id, toxic. train_rows: a condition on doc_id; rows that don't meet it are never looked at."""
+    """labels: doc_id, toxic. train_rows: a condition on doc_id; rows that don't meet it are never looked at.
+
+    The labelled rows, ``sample`` at most, are folded and written once; what is learned from them is read from there.
+    """
     known = labels.filter(train_rows) if train_rows is not None else labels
-    chosen = known.select(F.col("doc_id").cast("bigint").alias("_id"), (F.col("toxic") == 1).alias("bad")).dropna().orderBy(F.xxhash64("_id"), "_id", "bad").limit(sample)
-    every = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", F.col("text").cast("string").alias("text"), "bad")
+    doc_key, bad_key = fresh(docs, 2)
+    chosen = known.select(F.col("doc_id").cast("bigint").alias(doc_key), (F.col("toxic") == 1).alias(bad_key)).dropna().distinct().orderBy(F.xxhash64(doc_key), doc_key, bad_key).limit(sample)
+    every = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col(doc_key)).select(F.col(doc_key).alias("doc"), F.col("text").cast("string").alias("text"), F.col(bad_key).alias("bad"))
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([_sketch(t) for t in b.column(1).to_pylist()], pa.int64())], ["_id", "bad", "sketch"])
+            texts = b.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([_sketch(t) for t in texts], pa.int64()), pa.array([fold(t) for t in texts], pa.string())], ["doc", "bad", "sketch", "folded"])
 
-    once = every.mapInArrow(sketch, "_id bigint, bad boolean, sketch bigint").groupBy("sketch", "bad").agg(F.min("_id").alias("_id"))  # at most SAMPLE rows
-    rows = docs.join(F.broadcast(once), F.col("doc_id") == F.col("_id")).select(F.col("text").cast("string").alias("text"), "bad")
+    sampled = materialize(every.mapInArrow(folded, "doc bigint, bad boolean, sketch bigint, folded string"), "toxicity-sample")
+    first = sampled.groupBy("sketch", "bad").agg(F.min("doc").alias("doc"))  # at most SAMPLE rows
+    rows = materialize(sampled.join(F.broadcast(first), ["sketch", "bad", "doc"]).dropDuplicates(["sketch", "bad"]).select("folded", "bad"), "toxicity-rows")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found, times = (Counter(), Counter()), (Counter(), Counter())
             for text, bad in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                folded = fold(text)
-                own = entries_of(folded)
+                own = entries_of(text)
                 found[bad].update(own.keys())
                 times[bad].update(own)
                 found[bad][""] += 1
-                times[bad][""] += len(folded.split())
+                times[bad][""] += len(text.split())
             keys = list(found[1].keys() | found[0].keys())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([x[k] for k in keys], pa.int64()) for x in (found[1], found[0], times[1], times[0]))], ["entry", "t", "c", "t_n", "c_n"])
 
     counted = rows.mapInArrow(count, "entry string, t bigint, c bigint, t_n bigint, c_n bigint").groupBy("entry").agg(*(F.sum(x).alias(x) for x in ("t", "c", "t_n", "c_n")))
-    likely = (F.col("entry") == "") | ((F.col("t") >= LEAST) & (F.col("t_n") > F.col("c_n") / 4))
-    got = {r[0]: tuple(r[1:]) for r in counted.filter(likely).orderBy((F.col("entry") != ""), F.desc("t"), "entry").limit(50 * ENTRIES).collect()}
-    toxic, clean, toxic_words, clean_words = got.pop("", (0, 0, 0, 0))
+    counted = materialize(counted, "toxicity-counts")
+    toxic, clean, toxic_words, clean_words = (counted.filter("entry = ''").select("t", "c", "t_n", "c_n").first() or (0, 0, 0, 0))
     if not toxic or not clean:
         share = min(0.99, max(0.01, toxic / (toxic + clean))) if toxic + clean else 0.5
+        discard(sampled, rows, counted)
         return Model({}, [], [math.log(share / (1 - share)), 0.0, 0.0, 0.0])
-    entries = choose_entries([(e, *n) for e, n in got.items()], toxic, clean, toxic_words, clean_words)
+    # what can't be an entry isn't sent to the driver: rare ones, and those no likelier in toxic rows
+    likely = counted.filter((F.col("entry") != "") & (F.col("t") >= max(LEAST, SHARE * toxic)) & (F.log((F.col("t_n") + 0.5) / (toxic_words + 1)) - F.log((F.col("c_n") + 0.5) / (clean_words + 1)) >= ODDS))
+    entries = choose_entries([tuple(r) for r in likely.collect()], toxic, clean, toxic_words, clean_words, counted.filter((F.col("entry") != "") & (F.col("t") >= LEAST) & (F.col("t_n") > F.col("c_n") / 4)).count())
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(entries)
         for b in batches:
             found = {True: Counter(), False: Counter()}
             for text, bad in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                folded = fold(text)
-                found[bad].update({p for a, e, _, _ in matcher.hits(folded) for p in _phrases(folded, a, e)})
+                found[bad].update({p for a, e, _, _ in matcher.hits(text) for p in _phrases(text, a, e)})
             keys = list(found[True].keys() | found[False].keys())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([found[True][k] for k in keys], pa.int64()), pa.array([found[False][k] for k in keys], pa.int64())], ["entry", "t", "c"])
 
     seen = rows.mapInArrow(phrases, "entry string, t bigint, c bigint").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     safe = seen.filter((F.col("t") + F.col("c") >= PHRASE_ROWS) & (F.col("t") <= PHRASE_TOXIC * (F.col("t") + F.col("c"))))
-    exceptions = [r["entry"] for r in safe.orderBy(F.desc("c"), "entry").limit(ENTRIES).collect()]
+    exceptions = sorted(r["entry"] for r in safe.collect())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(entries, exceptions)
         for b in batches:
-            m = [matcher.measures(fold(t)) for t in b.column(0).to_pylist()]
+            m = [matcher.measures(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(m, pa.list_(pa.float64()))], ["bad", "m"])
 
-    got = rows.mapInArrow(measure, "bad boolean, m array<double>").orderBy("bad", "m").collect()
-    x, y = np.array([r["m"] for r in got]), np.array([float(r["bad"]) for r in got])
+    got = sorted((r["bad"], r["m"]) for r in rows.mapInArrow(measure, "bad boolean, m array<double>").collect())  # at most SAMPLE
+    x, y = np.array([m for _, m in got]), np.array([float(bad) for bad, _ in got])
+    discard(sampled, rows, counted)
     return Model(entries, exceptions, fit_logistic(x, y, np.ones(len(y)), ridge=0.5).tolist())
 
 

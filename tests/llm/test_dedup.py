@@ -17,12 +17,12 @@ def frame(spark, rows):
 
 def test_perfect_hash_is_minimal_and_checked():
     keys = [hashlib.sha256(str(i).encode()).digest() for i in range(5000)]
-    shard = E.Shard.build(keys, list(range(5000)), [1] * 5000)
+    shard = E.Shard.build(keys, list(range(5000)), list(range(5000)), [1] * 5000)
     at = shard.find(keys)
     assert sorted(at) == list(range(5000)) and [shard.winners[k] for k in at] == list(range(5000))
     others = [hashlib.sha256(f"x{i}".encode()).digest() for i in range(5000)]
     assert (shard.find(others) == -1).all()
-    assert E.Shard.build([], [], []).find(others).tolist() == [-1] * 5000
+    assert E.Shard.build([], [], [], []).find(others).tolist() == [-1] * 5000
 
 
 def exact_expected(rows):
@@ -45,20 +45,64 @@ def test_exact_dedup(spark, rows):
     assert got == exact_expected(rows)
 
 
+def judged(rows):
+    return {r.doc_id: (r.keep_id, r.group_size, r.kept, r.seen) for r in rows.collect()}
+
+
+def test_members_and_nonmembers(spark):
+    """Both ways are taken in one call: texts of the first batch are members when the second comes."""
+    rows = [(i, f"t{i % 40}" if i < 300 else f"own{i}") for i in range(400)]
+    got = judged(E.exact_dedup(frame(spark, rows))[0])
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    assert {i: v[:3] for i, v in got.items()} == {i: (max(ids), len(ids), i == max(ids)) for ids in groups.values() for i in ids}
+    assert 100 < sum(v[3] for v in got.values()) < 250 and any(v[3] and v[2] for v in got.values())
+
+
 def test_history(spark):
-    old, new = [(1, "a"), (9, "b"), (3, "c")], [(5, "a"), (4, "b"), (6, "d"), (7, "d")]
-    _, index = E.exact_dedup(frame(spark, old), shards=4)
-    got, merged = E.exact_dedup(frame(spark, new), history=index, shards=4)
-    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got.collect()} == {5: (5, 2, True), 4: (9, 2, False), 6: (7, 2, False), 7: (7, 2, True)}
-    groups = E.distinct_digests(E.text_digests(frame(spark, [*new, (8, "e")])))
-    assert Counter(r.seen for r in E.merge_history(groups, index, 4).collect()) == {True: 2, False: 2}
-    assert merged.count() <= 4
+    """Three tables one after another against one plain loop; the index keeps what came two tables ago."""
+    tables = [[(1, "a"), (9, "b"), (3, "c")], [(5, "a"), (6, "d"), (7, "d")], [(4, "b"), (8, "c"), (2, "a"), (9, "b"), (10, "e"), (None, "d")]]
+    index, known = None, {}
+    for n, rows in enumerate(tables):
+        got, index = E.exact_dedup(frame(spark, rows), history=index, shards=None if n else 4)
+        want, old = {}, {t: list(ids) for t, ids in known.items()}
+        for i, t in rows:
+            known.setdefault(t, []).append(i)
+        for i, t in rows:
+            best = max(x for x in known[t] if x is not None)
+            want[i] = (best, len(known[t]), i == best and i not in old.get(t, ()))
+        assert {i: v[:3] for i, v in judged(got).items()} == want
+        assert all(v[3] for i, v in judged(got).items() if dict(rows)[i] in old)
+    held = E.index_groups(index).collect()
+    assert {bytes(r.digest): (r.winner, r["size"]) for r in held} == {hashlib.sha256(t.encode()).digest(): (max(x for x in ids if x is not None), len(ids)) for t, ids in known.items()}
+
+
+def test_another_number_of_shards(spark):
+    old = [(i, f"t{i}") for i in range(50)]
+    _, index = E.exact_dedup(frame(spark, old), shards=3)
+    rows, index = E.exact_dedup(frame(spark, [(100 - i, t) for i, t in old] + [(200, "new")]), history=index, shards=8)
+    got = judged(rows)
+    assert {i for i, v in got.items() if v[2]} == {100 - i for i in range(50)} | {200} and sum(v[1] == 2 for v in got.values()) == 50
+    assert {r.shards for r in index.select("shards").collect()} == {8} and E.index_groups(index).count() == 51
+    with pytest.raises(ValueError, match="shards"):
+        E.exact_dedup(frame(spark, old), history=index.unionByName(index.withColumn("shards", index.shards + 1)))
+
+
+def test_nothing_leaves_the_history(spark):
+    _, index = E.exact_dedup(frame(spark, [(1, "a")]))
+    rows, index = E.exact_dedup(frame(spark, []), history=index)
+    assert rows.count() == 0 and E.index_groups(index).count() == 1
+    assert judged(E.exact_dedup(frame(spark, [(2, "a")]), history=index)[0]) == {2: (2, 2, True, True)}
 
 
 def test_drop_repeats_keeps_columns(spark):
-    df = frame(spark, [(1, "a"), (2, "a"), (2, "a"), (3, None)]).withColumnRenamed("lang", "digest")
+    schema = "doc_id bigint, text string, _id int, _digest string, _once int, _0 int, DIGEST string, kept boolean"
+    df = spark.createDataFrame([(1, "a", 78, "x", 5, 1, "y", False), (2, "a", 79, "x", 6, 2, "y", False), (2, "a", 79, "x", 6, 2, "y", False), (3, None, 80, None, None, None, None, None)], schema)
     got = E.drop_repeats(df)
-    assert got.columns == df.columns and sorted((r.doc_id, r.text) for r in got.collect()) == [(2, "a"), (3, None)]
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [(2, "a", 79, "x", 6, 2, "y", False), (3, None, 80, None, None, None, None, None)]
+    same = spark.createDataFrame([(7, "hot", 0)] * 500 + [(i, "cold", 0) for i in range(9)], "doc_id bigint, text string, row int")
+    assert sorted((r.doc_id, r.text) for r in E.drop_repeats(same).collect()) == [(7, "hot"), (8, "cold")]
 
 
 def near_expected(rows, n=5, threshold=0.8):
