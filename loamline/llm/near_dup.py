@@ -2,43 +2,49 @@
 
 1. Every document becomes the set of its n-grams (hashes of 64 bits) and a sketch: 128 MinHash values, of which a byte
    each and 32 hashes of 4 values each (the bands) are kept. Documents with the same set form a class; from here on
-   there is one row a class.
+   there is one row a class, known by a number of its own.
 2. Candidates are classes that share a band. A pair similar enough misses every band with a chance of 5e-8 or less.
 3. Bayesian pruning: a pair's MinHash values are compared a part at a time; with a uniform prior the similarity then has a
    beta posterior, and the pair is dropped as soon as the chance of reaching the threshold falls below a tolerance.
 4. What is left is verified on the sets, exactly.
 
-Bands with few classes give pairs, each in the first band that the two share. Bands with many classes would give pairs
-in the square of their number. Their classes are gathered into clusters (connected by such bands); a cluster is cut into
-blocks by a hash, and each pair of blocks is one unit of work, in which pruning and verifying run on matrices and of
-which only numbers of links and a spanning forest come out. Nothing is capped: large groups only make more units.
+Bands with few classes give pairs, each once. Bands with many classes would give pairs in the square of their number.
+Their classes are gathered into clusters (connected by such bands). In a cluster, sets whose sizes differ too much for the threshold
+can't be similar, so classes are sorted into size cells of which only equal and neighbouring ones meet; a cell is cut into
+blocks by a hash, and each pair of blocks is one unit of work, in which candidates are found (the same rule: a band in common),
+pruned and verified on matrices and of which only numbers of links and a spanning forest come out. Nothing is capped:
+large groups only make more units, of the same size. The work for links inside a group of different texts of about one length
+grows with the square of the group, as the number of its links does, and a set is sent to as many units as its cell has blocks.
 
 Results: per document the class of near duplicates (the largest doc_id that is connected to it by links), the number of
 links to different texts, and to other documents (with copies). Defined results: null and empty texts, and texts without
-any words, have no n-grams, no links, and each is its own class; texts shorter than n words have one n-gram, all their
-words; words are what lies between white space, as it is; repeated rows count as copies; an empty table gives no rows.
+any words, have no n-grams, no links, and each is its own class, and so is a row without a doc_id; texts shorter than n words
+have one n-gram, all their words; words are what lies between white space, as it is, and texts are taken whole; repeated rows count as
+copies; a doc_id on two different texts is two documents, each with its own links; a similarity of exactly the threshold is a link;
+an empty table gives no rows; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import join_uneven, materialize
+from .common import discard, fresh, join_uneven, materialize
 
 WORDS, THRESHOLD = 5, 0.8
 #: MinHash values, values in a band, values compared at a time.
 VALUES, BAND, STEP = 128, 4, 16
 #: A pair is dropped when the posterior chance of reaching the threshold is below this.
 TOLERANCE = 1e-9
-#: A band with more classes than this counts as dense; classes in a block.
-DENSE, BLOCK = 48, 256
+#: A band with more classes than this makes a cluster; classes in a block.
+DENSE, BLOCK = 48, 128
 
 BANDS = VALUES // BAND
 _MULTIPLY = np.random.default_rng(20_240_229).integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -180,34 +186,38 @@ class Forest:
             self.up[min(a, b)] = max(a, b)
 
 
-SET_SCHEMA = "doc_id bigint, size int, fingerprint binary, bands binary, bytes binary"
+def fingerprint(items: np.ndarray) -> bytes:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
+
+
+SET_SCHEMA = "doc_id bigint, text_key bigint, size int, fingerprint binary, bands binary, bytes binary"
 
 
 def sketched(docs: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, number of n-grams, fingerprint of the set (null for an empty set) and sketch of every row."""
-    import hashlib
+    """doc_id, hash of the text, number of n-grams, fingerprint of the set (null for an empty set) and sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, prints, bands, low = [], [], [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).to_pylist():
                 s = shingles(text, n)
                 sizes.append(len(s))
                 if len(s):
                     x, y = sketch(minhashes(s))
-                    prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    prints.append(fingerprint(s))
                     bands.append(x.tobytes())
                     low.append(y.tobytes())
                 else:
                     for out in (prints, bands, low):
                         out.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), *(pa.array(x, pa.binary()) for x in (prints, bands, low))], ["doc_id", "size", "fingerprint", "bands", "bytes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), *(pa.array(x, pa.binary()) for x in (prints, bands, low))], ["doc_id", "text_key", "size", "fingerprint", "bands", "bytes"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SET_SCHEMA)
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, SET_SCHEMA)
 
 
 def _band_keys(classes: DataFrame) -> DataFrame:
-    """rep, key: one row for each band of each class."""
+    """node, key: one row for each band of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.arange(BANDS, dtype=np.int64) << 32
@@ -215,9 +225,9 @@ def _band_keys(classes: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 2048):
                 b = batch.slice(at, 2048)
                 keys = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint32).reshape(-1, BANDS).astype(np.int64) | number
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), BANDS)), pa.array(keys.ravel())], ["rep", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), BANDS)), pa.array(keys.ravel())], ["node", "key"])
 
-    return classes.select("rep", "bands").mapInArrow(run, "rep bigint, key bigint")
+    return classes.select("node", "bands").mapInArrow(run, "node bigint, key bigint")
 
 
 #: Rounds after which components() gives up with an error; a component of n nodes takes about log n of them.
@@ -238,7 +248,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         # nodes with more than one larger neighbour, or with larger and smaller ones
         ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-        if not ends.filter("up > 1 OR up > 0 AND down > 0").limit(1).count():
+        if ends.filter("up > 1 OR up > 0 AND down > 0").isEmpty():
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         total = max(1, links.count())
         largest = links.select(F.col("a").alias("b"), F.col("b").alias("top"), F.lit(0).alias("below")).unionByName(links.select("b", F.col("b").alias("top"), F.lit(1).alias("below")))
@@ -246,7 +256,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = materialize(join_uneven(links, largest, "b", "below", total).select("a", F.col("top").alias("b")).distinct(), f"{name}-{k}-large")
         highest = materialize(large.groupBy("a").agg(F.max("b").alias("top"), F.count(F.lit(1)).alias("above")), f"{name}-{k}-highest")
         small = join_uneven(large, highest, "a", "above", max(1, large.count())).select(F.col("b").alias("a"), F.col("top").alias("b")).filter("a <> b")
-        links = materialize(small.unionByName(highest.select("a", F.col("top").alias("b"))).distinct(), f"{name}-{k}")
+        old, links = links, materialize(small.unionByName(highest.select("a", F.col("top").alias("b"))).distinct(), f"{name}-{k}")
+        discard(old, large, highest)
     raise RuntimeError(f"components of {name} aren't finished after {ROUNDS} rounds")
 
 
@@ -264,35 +275,38 @@ def _links(found: dict[int, list[int]], forest: Forest) -> pa.RecordBatch:
     )
 
 
-def _sets_of(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """rep and its set (bytes) for the classes in reps (rep)."""
+def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """node and its set (bytes) for the classes in wanted (node, rep, print: the set's fingerprint)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, n).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["rep", "items"])
+            found = [shingles(t, n) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(map(fingerprint, found), pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], ["print", "items"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string").alias("text"))
     # the list of classes grows with the input, so it is never broadcast: the plan is the same at every size
-    return texts.join(reps.hint("merge"), "rep", "left_semi").mapInArrow(run, "rep bigint, items binary").dropDuplicates(["rep"])
+    found = texts.join(wanted.select("rep").distinct().hint("merge"), "rep", "left_semi").select("text").mapInArrow(run, "print binary, items binary").dropDuplicates(["print"])
+    return found.join(wanted.select("node", "print"), "print").drop("print")
 
 
 def similar_classes(docs: DataFrame, classes: DataFrame, n: int, threshold: float) -> DataFrame:
-    """LINK_SCHEMA rows over classes (rep, copies, bands, bytes): numbers of links to be added up, and edges."""
+    """LINK_SCHEMA rows over classes (node, rep, print, size, copies, bands, bytes): numbers of links to be added up, and edges."""
     keys = materialize(_band_keys(classes), "bands")
-    live = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max("rep").alias("top")).filter("members > 1")
-    live = materialize(keys.join(live, "key"), "live-bands")
+    members = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max("node").alias("top")).filter("members > 1")
+    members = materialize(members, "band-members")
+    live = materialize(join_uneven(keys, members, "key", "members", max(1, keys.count())).filter("members IS NOT NULL"), "live-bands")
 
-    # Clusters of dense bands.
+    # Clusters of bands with many classes.
     dense = live.filter(F.col("members") > DENSE)
-    clusters = components(dense.select(F.col("rep").alias("a"), F.col("top").alias("b")), "clusters").withColumnRenamed("root", "cluster").withColumnRenamed("node", "rep")
+    clusters = components(dense.select(F.col("node").alias("a"), F.col("top").alias("b")), "clusters").withColumnRenamed("root", "cluster")
     clusters = materialize(clusters, "clusters")
 
     # Pairs of the other bands, with the sketches; of a band's members each meets the later ones.
-    sparse = live.filter(F.col("members") <= DENSE).join(clusters, "rep", "left").select("key", "rep", "cluster")
-    other = sparse.select("key", F.col("rep").alias("b"), F.col("cluster").alias("b_cluster"))
-    pairs = sparse.withColumnRenamed("rep", "a").join(other, "key").filter("a < b AND NOT (cluster <=> b_cluster AND cluster IS NOT NULL)").select("a", "b").distinct()
-    small = classes.select("rep", "bytes")
-    pairs = pairs.join(small.select(F.col("rep").alias("a"), F.col("bytes").alias("x")), "a").join(small.select(F.col("rep").alias("b"), F.col("bytes").alias("y")), "b")
+    sparse = live.filter(F.col("members") <= DENSE).join(clusters, "node", "left").select("key", "node", "cluster")
+    other = sparse.select("key", F.col("node").alias("b"), F.col("cluster").alias("b_cluster"))
+    pairs = sparse.withColumnRenamed("node", "a").join(other, "key").filter("a < b AND NOT (cluster <=> b_cluster AND cluster IS NOT NULL)").select("a", "b").distinct()
+    small = classes.select("node", "bytes")
+    pairs = pairs.join(small.select(F.col("node").alias("a"), F.col("bytes").alias("x")), "a").join(small.select(F.col("node").alias("b"), F.col("bytes").alias("y")), "b")
 
     def pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -302,11 +316,12 @@ def similar_classes(docs: DataFrame, classes: DataFrame, n: int, threshold: floa
                 yield b.select(["a", "b"]).filter(stay)
 
     likely = materialize(pairs.mapInArrow(pruned, "a bigint, b bigint"), "likely-pairs")
-    reps = likely.select(F.col("a").alias("rep")).unionByName(likely.select(F.col("b").alias("rep"))).unionByName(clusters.select("rep")).distinct()
-    sets = materialize(_sets_of(docs, reps, n).join(classes.select("rep", "copies", "bytes"), "rep"), "sets")
+    nodes = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).unionByName(clusters.select("node")).distinct()
+    wanted = materialize(classes.select("node", "rep", "print", "copies", "size").join(nodes, "node"), "wanted-classes")
+    sets = materialize(_sets_of(docs, wanted, n).join(wanted.select("node", "copies"), "node"), "sets")
 
     def side(c: str) -> DataFrame:
-        return sets.select(F.col("rep").alias(c), F.col("items").alias(f"{c}_items"), F.col("copies").alias(f"{c}_copies"))
+        return sets.select(F.col("node").alias(c), F.col("items").alias(f"{c}_items"), F.col("copies").alias(f"{c}_copies"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -324,67 +339,102 @@ def similar_classes(docs: DataFrame, classes: DataFrame, n: int, threshold: floa
 
     from_pairs = likely.join(side("a"), "a").join(side("b"), "b").mapInArrow(verify, LINK_SCHEMA)
 
-    # Blocks of the clusters.
-    whole = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    dealt = join_uneven(clusters, whole, "cluster", "members", max(1, clusters.count())).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("rep", F.col("cluster"), "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
+    # Size cells of the clusters, and their blocks. A cell is so wide that a set is at the threshold to the next cell's at most.
+    width = -float(np.log(threshold)) * (1 + 1e-9)
+    placed = clusters.join(wanted.select("node", "size"), "node").withColumn("cell", F.floor(F.log(F.col("size").cast("double")) / width).cast("int"))
+    placed = materialize(placed.withColumn("at", F.concat_ws(":", "cluster", "cell")), "size-cells")
+    cells = placed.groupBy("cluster", "cell", "at").agg(F.count(F.lit(1)).alias("members")).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    near = Window.partitionBy("cluster").orderBy("cell")  # as many rows as sizes have logarithms
+    below = F.when(F.lag("cell").over(near) == F.col("cell") - 1, F.lag("blocks").over(near)).otherwise(0)
+    above = F.when(F.lead("cell").over(near) == F.col("cell") + 1, F.lead("blocks").over(near)).otherwise(0)
+    cells = materialize(cells.select("at", "members", "blocks", below.alias("below"), above.alias("above")), "cells")
+    dealt = join_uneven(placed, cells, "at", "members", max(1, placed.count())).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+    def units(count: str, low: Column, high: Column) -> Column:
+        """Units with each of the blocks of a cell, as (lower cell, its block, the other cell's block, cells apart)."""
+        numbers = F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbers, lambda i: F.struct((F.col("cell") + low).alias("lower"), F.when(high == 0, F.least(F.col("block"), i)).when(low < 0, i).otherwise(F.col("block")).alias("low"), F.when(high == 0, F.greatest(F.col("block"), i)).when(low < 0, F.col("block")).otherwise(i).alias("high"), high.alias("apart")))
+
+    each = F.concat(units("blocks", F.lit(0), F.lit(0)), units("above", F.lit(0), F.lit(1)), units("below", F.lit(-1), F.lit(1)))
+    dealt = dealt.withColumn("unit", F.explode(each)).select("node", "cluster", "cell", "block", "unit.lower", "unit.low", "unit.high", "unit.apart")
 
     def block(t: pa.Table) -> pa.Table:
-        low, high = t["low"][0].as_py(), t["high"][0].as_py()
-        at = t["block"].to_numpy()
-        reps, copies = t["rep"].to_numpy(), t["copies"].to_numpy()
+        lower, low, high, apart = (t[c][0].as_py() for c in ("lower", "low", "high", "apart"))
+        cell, at = t["cell"].to_numpy(), t["block"].to_numpy()
+        nodes, copies = t["node"].to_numpy(), t["copies"].to_numpy()
         raw = np.frombuffer(b"".join(t["bytes"].to_pylist()), dtype=np.uint8).reshape(-1, VALUES)
-        items = [np.frombuffer(x, dtype=np.uint64) for x in t["items"].to_pylist()]
-        sizes = np.array([len(x) for x in items])
-        first, second = np.flatnonzero(at == low), np.flatnonzero(at == high)
+        bands = np.frombuffer(b"".join(t["bands"].to_pylist()), dtype=np.uint32).reshape(-1, BANDS)
+        first, second = np.flatnonzero((at == low) & (cell == lower)), np.flatnonzero((at == high) & (cell == lower + apart))
         found: dict[int, list[int]] = {}
         forest = Forest()
         if len(first) and len(second):
-            i, j = (m.ravel() for m in np.meshgrid(np.arange(len(first)), np.arange(len(second)), indexing="ij"))
-            if low == high:
-                i, j = i[i < j], j[i < j]
-            stay = np.zeros(len(i), dtype=bool)
-            for k in range(0, len(i), 16_384):
-                part = slice(k, k + 16_384)
-                stay[part] = prune(raw[first[i[part]]], raw[second[j[part]]], threshold)
+            shared = np.zeros((len(first), len(second)), dtype=bool)
+            for k in range(BANDS):
+                shared |= bands[first, k][:, None] == bands[second, k][None, :]
+            i, j = np.nonzero(np.triu(shared, 1) if low == high and not apart else shared)
+            stay = prune(raw[first[i]], raw[second[j]], threshold)
             i, j = i[stay], j[stay]
             if len(i):
-                common = common_counts([items[k] for k in first], [items[k] for k in second])[i, j]
-                linked = reaches(common, sizes[first[i]], sizes[second[j]], threshold)
+                x, y = np.unique(i), np.unique(j)
+                items = t["items"].take(pa.array(np.union1d(first[x], second[y]))).to_pylist()
+                items = dict(zip(np.union1d(first[x], second[y]).tolist(), (np.frombuffer(v, dtype=np.uint64) for v in items), strict=True))
+                a, b = [items[k] for k in first[x].tolist()], [items[k] for k in second[y].tolist()]
+                p, q = np.searchsorted(x, i), np.searchsorted(y, j)
+                common = common_counts(a, b)[p, q]
+                linked = reaches(common, np.array([len(v) for v in a])[p], np.array([len(v) for v in b])[q], threshold)
                 p, q = first[i[linked]], second[j[linked]]
                 texts, docs_n = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
                 for u, v in ((p, q), (q, p)):
                     np.add.at(texts, u, 1)
                     np.add.at(docs_n, u, copies[v])
-                found = {int(reps[k]): [int(texts[k]), int(docs_n[k])] for k in np.flatnonzero(texts)}
-                for a, b in zip(reps[p].tolist(), reps[q].tolist(), strict=True):
+                found = {int(nodes[k]): [int(texts[k]), int(docs_n[k])] for k in np.flatnonzero(texts)}
+                for a, b in zip(nodes[p].tolist(), nodes[q].tolist(), strict=True):
                     forest.join(a, b)
         return pa.Table.from_batches([_links(found, forest)])
 
-    from_blocks = dealt.join(sets, "rep").groupBy("cluster", "low", "high").applyInArrow(block, LINK_SCHEMA)
-    return from_pairs.unionByName(from_blocks)
+    whole = sets.join(classes.select("node", "bands", "bytes").join(clusters.select("node"), "node"), "node")
+    from_blocks = dealt.join(whole, "node").groupBy("cluster", "lower", "low", "high", "apart").applyInArrow(block, LINK_SCHEMA)
+    links = materialize(from_pairs.unionByName(from_blocks), "links")
+    discard(keys, members, live, clusters, likely, wanted, sets, placed, cells)
+    return links
 
 
-def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, text_links, links of every row of docs (doc_id, text)."""
+def judged_rows(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, text_key, root (number of the group; null without n-grams), class_id, text_links, links of every row of docs."""
     rows = materialize(sketched(docs, n), "sketches")
     total = rows.count()
-    grouped = rows.filter(F.col("fingerprint").isNotNull() & F.col("doc_id").isNotNull()).groupBy("fingerprint").agg(F.max("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    grouped = materialize(grouped, "classes")
-    tops = rows.select(F.col("doc_id").alias("rep"), "fingerprint", "bands", "bytes").join(grouped, ["rep", "fingerprint"]).dropDuplicates(["fingerprint"])
-    classes = materialize(tops, "class-sketches")
-    links = materialize(similar_classes(docs, classes, n, threshold), "links")
-    roots = components(links.filter("edge").select("a", "b"), "groups")
+    usable = rows.filter(F.col("fingerprint").isNotNull() & F.col("doc_id").isNotNull())
+    grouped = usable.groupBy("fingerprint").agg(F.max("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("size", "bands", "bytes")))
+    classes = materialize(grouped.withColumnRenamed("fingerprint", "print").withColumn("node", F.monotonically_increasing_id()), "classes")
+    links = similar_classes(docs, classes, n, threshold)
+    roots = materialize(components(links.filter("edge").select("a", "b"), "groups"), "roots")
     counts = links.filter("NOT edge").groupBy("a").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
-    known = grouped.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(counts.withColumnRenamed("a", "rep"), "rep", "left")
-    known = known.select("fingerprint", "copies", F.coalesce("root", "rep").alias("class_id"), F.coalesce("texts", F.lit(0)).alias("text_links"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    known = classes.select("node", "rep", "print", "copies").join(roots, "node", "left").join(counts.withColumnRenamed("a", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = materialize(known, "known-classes")
+    tops = known.groupBy("root").agg(F.max("rep").alias("class_id"), F.count(F.lit(1)).alias("classes"))
+    known = join_uneven(known, tops, "root", "classes", max(1, known.count())).select(F.col("print").alias("fingerprint"), "copies", "root", "class_id", F.coalesce("texts", F.lit(0)).alias("text_links"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("links"))
     known = materialize(known, "known")
-    out = join_uneven(rows.select("doc_id", "fingerprint"), known, "fingerprint", "copies", total)
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("text_links", F.lit(0)).cast("bigint").alias("text_links"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    narrow = rows.select("doc_id", "text_key", F.when(F.col("doc_id").isNotNull(), F.col("fingerprint")).alias("fingerprint"))
+    out = join_uneven(narrow, known, "fingerprint", "copies", total)
+    return out.select("doc_id", "text_key", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("text_links", F.lit(0)).cast("bigint").alias("text_links"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+
+def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, text_links, links of every row of docs (doc_id, text)."""
+    return judged_rows(docs, n, threshold).select("doc_id", "class_id", "text_links", "links")
 
 
 def one_of_each(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without near duplicates: of each class the row with the largest doc_id stays; all columns stay."""
-    kept = near_duplicates(docs, n, threshold).filter("doc_id = class_id OR doc_id IS NULL").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """docs without near duplicates: of each class the row with the largest doc_id stays, of two texts with that id one; rows
+    that repeat id and text are one document, which stays once; all columns stay, whatever their names."""
+    row_key, kept_key = fresh(docs, 2)
+
+    def key(doc_id: Column, text_key: Column) -> Column:
+        return F.concat_ws(":", text_key.cast("string"), doc_id.cast("bigint").cast("string"))
+
+    rows = judged_rows(docs, n, threshold)
+    # rows without a group are groups by themselves, known by their key
+    group = F.coalesce(F.col("root").cast("string"), F.concat(F.lit("="), key(F.col("doc_id"), F.col("text_key"))))
+    kept = rows.filter("root IS NULL OR doc_id = class_id").groupBy(group.alias("group")).agg(F.min(key(F.col("doc_id"), F.col("text_key"))).alias(kept_key)).select(kept_key)
+    once = docs.withColumn(row_key, key(F.col("doc_id"), F.xxhash64(F.col("text").cast("string")))).dropDuplicates([row_key])
+    return once.join(kept.distinct().hint("merge"), F.col(row_key) == F.col(kept_key), "left_semi").drop(row_key)
