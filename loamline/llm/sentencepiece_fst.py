@@ -1,23 +1,36 @@
 """SentencePiece encoding and decoding with a weighted finite-state transducer.
 
-Three machines are compiled from the model file: the normaliser (spaces to the space mark, a mark in front), the pieces
-(an arc for each piece from a place in the text to the place after it), and byte fallback (a character that is no piece
-goes through arcs for its bytes). Composed with an input they give a lattice; its paths are the ways to write the text in
-pieces. Merge models don't take the way with the best sum of scores, so weights alone can't pick it. But a way is what
-merging yields if, and only if, each two neighbours, merged by themselves, stay those two. (Until some merge crosses a
-boundary, the pieces on both sides develop as they would without other neighbours.) So the piece machine remembers its
-last arc, an arc after it weighs 0 if the two stay and infinity if not, and the tropical shortest path is the one path of
-finite weight. It is searched depth first, longer arcs first, never twice from the same state. Unigram models use the
-pieces' negated scores as weights and the usual relaxation in order of places.
-
-Inputs are cut where no piece of the model can cross: before a run of space marks, and between letters and other
-characters if no piece has both. Parts met before are remembered, up to a bounded number.
-
-Defined results: null counts as empty and has no ids; decoding takes the space in front away; repeated rows are each done.
+Four machines are compiled from the model file into tables of arcs:
+
+- the normaliser: the character map (a trie of bytes with outputs; the longest match is rewritten, anything else copied), and
+  the states for white space (in front, after a space, elsewhere) that drop, squeeze and mark spaces;
+- the pieces: a trie of characters, whose final states write a piece's id;
+- byte fallback: for a character that is no piece, arcs that write the ids of its bytes (or the unknown id);
+- the order of merges (merge models): its state is the last piece; an arc to a next piece weighs 0 if the two stay as they
+  are beside each other and infinity if merging would have joined parts of them first. It has too many arcs to be written
+  out (pieces in the square); each is computed when it is first met, from the tables of how pieces come about.
+
+Composed with an input they give a lattice over the places of the normalised text. The tropical shortest path is found by
+relaxing the arcs in order of places. In unigram models an arc weighs the piece's negated score. In merge models all
+weights are 0 or infinity; what merging yields for a text begins with what it yields for the text up to any of the
+path's places, so to each place leads exactly one path of finite weight, and one last piece is the whole state there.
+
+How a piece comes about is its last merge, that of its halves, and so on. Beside each other, the parts of two
+pieces at their border grow along the right edge of the first one's tree and the left edge of the second one's; the two
+stay if at no moment the parts at the border make a piece that scores better than the merges either of them waits for.
+
+Texts of merge models are cut where no piece can cross: before runs of space marks, and between neighbouring characters that no
+piece holds. (In unigram models the rounding of sums over the whole text decides ties, so they aren't cut.) Parts met before are remembered, up to a bounded number.
+
+Defined results: null counts as empty and has no ids; texts are encoded whole, in time that grows with their length; of equally
+good paths the one whose last arc begins earlier stays; decoding takes the space in front away; repeated rows are each done; an empty table
+gives no rows; other columns, whatever their names, aren't read. Models that put marks behind words, or of the word and
+character types, are refused.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 from collections.abc import Iterator
@@ -62,12 +75,40 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+class CharacterMap:
+    """The trie of bytes and the outputs of a compiled character map; its double array serves as the table of arcs."""
+
+    def __init__(self, blob: bytes):
+        size = struct.unpack_from("<I", blob)[0] if blob else 0
+        self.units = np.frombuffer(blob, dtype="<u4", count=size // 4, offset=4).tolist() if blob else []
+        self.outputs = blob[4 + size :]
+        self.known: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def _offset(unit: int) -> int:
+        return (unit >> 10) << ((unit & 512) >> 6)
+
+    def longest(self, text: bytes, at: int) -> tuple[int, bytes] | None:
+        """Bytes read and written by the longest match at a place."""
+        units, found = self.units, None
+        state = self._offset(units[0])
+        for i in range(at, len(text)):
+            state ^= text[i]
+            if state >= len(units) or units[state] & 0x800000FF != text[i]:
+                break
+            final, state = units[state] >> 8 & 1, state ^ self._offset(units[state])
+            if final:
+                begin = units[state] & 0x7FFFFFFF
+                found = i + 1 - at, self.outputs[begin : self.outputs.index(0, begin)]
+        return found
+
+
 class Transducer:
     def __init__(self, model: bytes):
         self.scores: list[float] = []
         self.names: list[str] = []
         self.types: list[int] = []
-        kind, self.prefix, self.squeeze, self.escape, charsmap = UNIGRAM, True, True, True, b""
+        kind, suffix, self.prefix, self.squeeze, self.escape, charsmap = UNIGRAM, False, True, True, True, b""
         for number, value in _fields(model):
             if number == PIECE:
                 f = dict(_fields(value))
@@ -75,148 +116,278 @@ class Transducer:
                 self.scores.append(struct.unpack("<f", f[2])[0] if 2 in f else 0.0)
                 self.types.append(f.get(3, NORMAL))
             elif number == TRAINER:
-                kind = dict(_fields(value)).get(3, UNIGRAM)
+                f = dict(_fields(value))
+                kind, suffix = f.get(3, UNIGRAM), bool(f.get(24, 0))
             elif number == NORMALIZER:
                 f = dict(_fields(value))
                 self.prefix, self.squeeze, self.escape, charsmap = bool(f.get(3, 1)), bool(f.get(4, 1)), bool(f.get(5, 1)), f.get(2, b"")
-        if kind not in (UNIGRAM, BPE) or charsmap or USER in self.types:
-            raise ValueError("models with a character map, with user symbols or of another kind aren't supported")
+        if kind not in (UNIGRAM, BPE) or suffix:
+            raise ValueError("only unigram and merge models with marks in front of words are supported")
         self.kind = kind
-        self.pieces = {n: i for i, (n, t) in enumerate(zip(self.names, self.types, strict=True)) if t in (NORMAL, UNUSED)}
-        self.bytes = {int(n[3:5], 16): i for i, (n, t) in enumerate(zip(self.names, self.types, strict=True)) if t == BYTE}
+        each = list(zip(self.names, self.types, strict=True))
+        self.map = CharacterMap(charsmap) if charsmap else None
+        self.user = sorted((n for n, t in each if t == USER), key=len, reverse=True)
+        self.user_cut = re.compile("(" + "|".join(map(re.escape, self.user)) + ")") if self.user else None
+        self.pieces = {n: i for i, (n, t) in enumerate(each) if t in (NORMAL, USER) or t == UNUSED and kind == BPE}
+        self.bytes = {int(n[3:5], 16): i for i, (n, t) in enumerate(each) if t == BYTE}
         self.unknown = self.types.index(UNKNOWN)
-        self.lowest = min(self.scores[i] for i in self.pieces.values()) - 10 if self.pieces else -10.0
-        self.prefixes = {n[:k] for n in self.pieces for k in range(1, len(n) + 1)}
-        self.cut = self._cuts()
-        self.stays: dict[tuple[str, str], bool] = {}
+        normal = [self.scores[i] for i, t in enumerate(self.types) if t == NORMAL]
+        self.worst, self.best = np.float32(min(normal, default=0.0) - 10), max(normal, default=0.0)
+        self.mark = MARK if self.escape else " "
+        self.cuttable = kind == BPE and not any(self.mark in n.lstrip(self.mark) for n in self.pieces)
+        self.parts = re.compile(f"{self.mark}*[^{self.mark}]+|{self.mark}+")
+        if kind == BPE:
+            self._compile_merges()
+        self._compile_pieces()
+        #: neighbouring characters that some piece holds; nothing crosses between any others
+        self.joined = {n[k : k + 2] for n in self.pieces for k in range(len(n) - 1)}
         self.memory: dict[str, bytes] = {}
-        self.plain = [b"" if t in (CONTROL, UNKNOWN) else bytes([int(n[3:5], 16)]) if t == BYTE else n.replace(MARK, " ").encode() for n, t in zip(self.names, self.types, strict=True)]
+        self.inner: dict[str, bytes] = {}
+        self.plain = [b"" if t in (CONTROL, UNKNOWN) else bytes([int(n[3:5], 16)]) if t == BYTE else n.replace(MARK, " ").encode() for n, t in each]
         self.plain[self.unknown] = " ⁇ ".encode()
 
-    def _cuts(self) -> re.Pattern | None:
-        """Parts of a normalised text that no piece crosses the ends of: they begin at space marks, and after a run of
-        letters that is followed by a sign which no piece has after a letter."""
-        if any(MARK in n.lstrip(MARK) for n in self.pieces):
-            return None
-        letter, after, signs = re.compile(r"[^\W\d_]"), set(), set(".,;:!?%&$*#|()\"")
-        for n in self.pieces:
-            after.update(b for a, b in zip(n, n[1:], strict=False) if letter.match(a))
-        ends = "".join(re.escape(c) for c in sorted(signs - after))
-        return re.compile(f"{MARK}*[^\\W\\d_]+(?=[{MARK}{ends}]|$)|{MARK}*[^{MARK}]+|{MARK}+")
-
     # The normaliser.
 
+    def _units(self, text: str) -> Iterator[str]:
+        """What the character map writes, match by match; symbols of the user are copied."""
+        raw, at = text.encode("utf-8", "replace"), 0
+        symbols = [u.encode() for u in self.user]
+        while at < len(raw):
+            for u in symbols:
+                if raw.startswith(u, at):
+                    size, out = len(u), u
+                    break
+            else:
+                found = self.map.longest(raw, at) if self.map else None
+                size = found[0] if found else 1 if raw[at] < 0x80 else 2 if raw[at] < 0xE0 else 3 if raw[at] < 0xF0 else 4
+                out = found[1] if found else raw[at : at + size]
+            yield out.decode("utf-8", "replace")
+            at += size
+
     def normalise(self, text: str) -> str:
         if not text:
             return ""
+        if not self.map and not self.user:  # each character is copied
+            if self.squeeze:
+                text = re.sub("  +", " ", text.strip(" "))
+            return (self.mark if self.prefix and text else "") + text.replace(" ", self.mark)
+        out, in_front, after_space = [], self.squeeze, self.squeeze
+        for unit in self._units(text):
+            if in_front and unit == " ":
+                continue
+            in_front = False
+            if after_space:
+                unit = unit.lstrip(" ")
+            if unit:
+                out.append(unit)
+                after_space = self.squeeze and unit.endswith(" ")
+            elif not self.squeeze:
+                after_space = False
+        done = "".join(out)
         if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-            if not text:
-                return ""
-        return (MARK if self.prefix else "") + text.replace(" ", MARK)
+            done = done.rstrip(" ")
+        if in_front or not out:
+            return ""
+        return (self.mark if self.prefix else "") + done.replace(" ", self.mark)
 
     # The pieces.
 
-    def merged(self, text: str) -> list[str]:
-        """Merging as the model defines it: of all neighbours that make a piece the best-scored first, then the leftmost."""
-        parts = list(text)
+    def _compile_pieces(self) -> None:
+        """arcs[state]: the next state for a character; final[state]: the piece written there, or -1."""
+        self.arcs: list[dict[str, int]] = [{}]
+        self.final = [-1]
+        for name, i in self.pieces.items():
+            if self.kind == BPE and (self.types[i] == USER or i not in self.left_edge):
+                continue
+            state = 0
+            for c in name:
+                after = self.arcs[state].get(c)
+                if after is None:
+                    after = self.arcs[state][c] = len(self.arcs)
+                    self.arcs.append({})
+                    self.final.append(-1)
+                state = after
+            self.final[state] = i
+
+    # The order of merges.
+
+    def _merges(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """What merging yields: of all neighbours that make a piece the best-scored first, then the leftmost; and the last merge."""
+        parts, last = list(text), None
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 k = self.pieces.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or self.scores[k] > best):
+                if k is not None and self.types[k] != USER and (best is None or self.scores[k] > best):
                     best, at = self.scores[k], i
             if best is None:
                 break
+            last = parts[at], parts[at + 1]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def stay(self, a: str, b: str) -> bool:
-        known = self.stays.get((a, b))
+        return parts, last
+
+    def _compile_merges(self) -> None:
+        """halves: the last merge of each piece that merging can yield. left_edge, right_edge: the parts on the edges of a
+        piece's tree, from the character up. pairs: which pieces two pieces make. odd: pieces with a merge that doesn't score
+        less than those before it, so that scores don't tell the order."""
+        self.halves: dict[int, tuple[int, int]] = {}
+        self.left_edge: dict[int, tuple[int, ...]] = {}
+        self.right_edge: dict[int, tuple[int, ...]] = {}
+        self.pairs: dict[tuple[int, int], int] = {}
+        self.odd: set[int] = set()
+        for name, i in sorted(self.pieces.items(), key=lambda p: len(p[0])):
+            if self.types[i] == USER:
+                continue
+            if len(name) == 1:
+                self.left_edge[i] = self.right_edge[i] = (i,)
+                continue
+            for k in range(1, len(name)):
+                a, b = self.pieces.get(name[:k]), self.pieces.get(name[k:])
+                if a is not None and b is not None:
+                    self.pairs[a, b] = i
+            parts, last = self._merges(name)
+            if len(parts) == 1 and last[0] in self.pieces and last[1] in self.pieces:
+                a, b = self.halves[i] = self.pieces[last[0]], self.pieces[last[1]]
+                self.left_edge[i], self.right_edge[i] = (*self.left_edge[a], i), (*self.right_edge[b], i)
+                if not all(h not in self.odd and (len(self.names[h]) == 1 or self.scores[h] > self.scores[i]) for h in (a, b)):
+                    self.odd.add(i)
+        self.weights: dict[tuple[int, int], bool] = {}
+
+    def _stay(self, a: int, b: int) -> bool:
+        """Whether the arc from piece a to piece b has a finite weight."""
+        known = self.weights.get((a, b))
         if known is None:
-            if len(self.stays) > 2 * MEMORY:
-                self.stays.clear()
-            known = self.stays[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+            if len(self.weights) > 4 * MEMORY:
+                self.weights.clear()
+            known = self.weights[a, b] = self._grow(a, b) if a not in self.odd and b not in self.odd else self._merges(self.names[a] + self.names[b])[0] == [self.names[a], self.names[b]]
         return known
 
-    def arcs(self, text: str, at: int) -> list[str]:
-        """Pieces that begin at a place, by length; a single character always has an arc."""
-        out, end, n = [text[at]], at + 2, len(text)
-        while end <= n:
-            part = text[at:end]
-            if part not in self.prefixes:
-                break
-            if part in self.pieces:
-                out.append(part)
-            end += 1
-        return out  # the last is the longest
-
-    def path(self, text: str) -> list[str]:
-        """The arcs of the shortest path."""
-        return self._merge_path(text) if self.kind == BPE else self._score_path(text)
-
-    def _merge_path(self, text: str) -> list[str]:
-        chosen: list[str] = []
-        places = [0]
-        open_arcs = [self.arcs(text, 0)]
-        dead: set[tuple[int, str]] = set()
-        while places[-1] < len(text):
-            last = chosen[-1] if chosen else ""
-            rest = open_arcs[-1]
-            while rest:
-                arc = rest.pop()
-                end = places[-1] + len(arc)
-                if (end, arc) not in dead and (self.stay(last, arc) if last or len(arc) > 1 else True):
-                    chosen.append(arc)
-                    places.append(end)
-                    open_arcs.append(self.arcs(text, end) if end < len(text) else [])
-                    break
+    def _grow(self, a: int, b: int) -> bool:
+        left, right, scores = self.right_edge[a], self.left_edge[b], self.scores
+        i = j = 0
+        while True:
+            across = self.pairs.get((left[i], right[j]))
+            grows, waits = (scores[left[i + 1]] if i + 1 < len(left) else None), (scores[right[j + 1]] if j + 1 < len(right) else None)
+            # of equal scores the leftmost merge comes first
+            if across is not None and (grows is None or scores[across] > grows) and (waits is None or scores[across] >= waits):
+                return False
+            if grows is None and waits is None:
+                return True
+            if waits is None or grows is not None and grows >= waits:
+                i += 1
             else:
-                if not chosen:
-                    return self.merged(text)  # not reached: merging itself gives a path
-                dead.add((places.pop(), chosen.pop()))
-                open_arcs.pop()
-        return chosen
-
-    def _score_path(self, text: str) -> list[str]:
-        best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(float("inf"), 0, "")] * len(text)
-        for at in range(len(text)):
-            for arc in self.arcs(text, at):
-                weight = best[at][0] - (self.scores[self.pieces[arc]] if arc in self.pieces else self.lowest)
-                if weight < best[at + len(arc)][0]:
-                    best[at + len(arc)] = (weight, at, arc)
-        out, at = [], len(text)
+                j += 1
+
+    # Composition with an input, and the shortest path.
+
+    def path(self, text: str) -> list[tuple[int, str]]:
+        """The arcs of the shortest path: pieces (-1 for byte fallback) and the text they read."""
+        n, arcs, final = len(text), self.arcs, self.final
+        last, back = [None] * (n + 1), [0] * (n + 1)
+        if self.kind == BPE:
+            weights = self.weights
+            for at in range(n):
+                had, state, end = last[at], 0, at
+                while end < n:
+                    state = arcs[state].get(text[end])
+                    end += 1
+                    if state is None:
+                        break
+                    piece = final[state]
+                    if piece >= 0 and last[end] is None:
+                        stays = had is None or had < 0 or weights.get((had, piece))
+                        if self._stay(had, piece) if stays is None else stays:
+                            last[end], back[end] = piece, at
+                if last[at + 1] is None and final[arcs[0].get(text[at], 0)] < 0:
+                    last[at + 1], back[at + 1] = -1, at
+        else:
+            # sums are kept in single precision, as the library does, since ties hang on it
+            weight: list[np.float32 | None] = [np.float32(0)] + [None] * n
+            for at in range(n):
+                here, state, end, single = weight[at], 0, at, False
+                while end < n:
+                    state = arcs[state].get(text[end])
+                    end += 1
+                    if state is None:
+                        break
+                    piece = final[state]
+                    if piece >= 0:
+                        single |= end == at + 1
+                        sum_ = here + (np.float32(len(text[at:end].encode()) * np.float32(self.best) - 0.1) if self.types[piece] == USER else np.float32(self.scores[piece]))
+                        if weight[end] is None or sum_ > weight[end]:
+                            weight[end], last[end], back[end] = sum_, piece, at
+                if not single and (weight[at + 1] is None or here + self.worst > weight[at + 1]):
+                    weight[at + 1], last[at + 1], back[at + 1] = here + self.worst, -1, at
+        out, at = [], n
         while at:
-            out.append(best[at][2])
-            at = best[at][1]
+            out.append((last[at], text[back[at] : at]))
+            at = back[at]
         return out[::-1]
 
-    # Byte fallback.
-
-    def ids_of(self, arc: str) -> list[int]:
-        k = self.pieces.get(arc)
-        if k is not None:
-            return [k]
-        return [self.bytes[b] for b in arc.encode("utf-8", "replace")] if len(self.bytes) == 256 else [self.unknown]
+    def written(self, piece: int, text: str) -> list[int]:
+        """The ids that an arc writes; a piece that isn't used writes its halves'."""
+        if piece < 0:
+            return [self.bytes[b] for b in text.encode("utf-8", "replace")] if len(self.bytes) == 256 else [self.unknown]
+        if self.types[piece] == UNUSED and piece in getattr(self, "halves", {}):
+            a, b = self.halves[piece]
+            return self.written(a, self.names[a]) + self.written(b, self.names[b])
+        return [piece]
+
+    def _part(self, text: str) -> bytes:
+        if self.kind == BPE and self.user_cut:
+            ids = [i for k, t in enumerate(self.user_cut.split(text)) for i in ([self.pieces[t]] if k % 2 else [i for p in self.path(t) for i in self.written(*p)])]
+        else:
+            ids = [i for p in self.path(text) for i in self.written(*p)]
+        return np.array(ids, dtype="<i4").tobytes()
+
+    def _word(self, text: str) -> bytes:
+        """A part, cut further between neighbours that no piece holds."""
+        joined, known, out, begin = self.joined, self.inner, [], 0
+        if len(known) > MEMORY:
+            known.clear()
+        for end in range(1, len(text) + 1):
+            if end == len(text) or text[end - 1 : end + 1] not in joined:
+                part = text[begin:end]
+                ids = known.get(part)
+                if ids is None:
+                    ids = self._part(part)
+                    if len(part) < 64:
+                        known[part] = ids
+                out.append(ids)
+                begin = end
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit numbers."""
         norm = self.normalise(text or "")
         if not norm:
             return b""
-        parts = self.cut.findall(norm) if self.cut else [norm]
-        memory = self.memory
-        if len(memory) > MEMORY:
-            memory.clear()
-        out = []
-        for p in parts:
-            ids = memory.get(p)
-            if ids is None:
-                ids = np.array([i for arc in self.path(p) for i in self.ids_of(arc)], dtype="<i4").tobytes()
-                if len(p) < 64:
-                    memory[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        memory, mark = self.memory, self.mark
+        if not self.cuttable or self.user:
+            out = self._part(norm)
+        else:
+            # a part with one mark in front is remembered without it, one with more marks with all, one with none not at all
+            if norm.startswith(mark) and mark + mark not in norm and not norm.endswith(mark):
+                parts = norm.split(mark)[1:]
+            else:
+                parts = [p[1:] if p.startswith(mark) and p[1:2] not in ("", mark) else p if p.startswith(mark) else None for p in self.parts.findall(norm)]
+            found = list(map(memory.get, parts))
+            if None in found:
+                if len(memory) > MEMORY:
+                    memory.clear()
+                for i, ids in enumerate(found):
+                    if ids is None and parts[i] is None:  # only the first part can have no mark
+                        found[i] = self._part(self.parts.match(norm).group())
+                    elif ids is None:
+                        p = parts[i]
+                        found[i] = memory.get(p) or self._word(p if p.startswith(mark) else mark + p)
+                        if len(p) < 64:
+                            memory[p] = found[i]
+            out = b"".join(found)
+        if len(self.bytes) < 256:  # neighbouring unknown characters are one
+            ids = np.frombuffer(out, dtype="<i4")
+            out = ids[np.concatenate([[True], (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)])].tobytes()
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.plain.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -236,8 +407,6 @@ def transducer(path: str) -> Transducer:
 
 def encode_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids (array) and the decoded text's SHA-256 with whether decoding gives the normalised text back."""
-    import hashlib
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = transducer(path)
         for batch in batches:

@@ -78,6 +78,91 @@ def test_sentencepiece_equals_the_library(text):
     assert fst.decode(ids) == library.decode(ids.tolist())
 
 
+def field(number, value):
+    """A field of a protocol-buffer message."""
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    if isinstance(value, float):
+        import struct
+
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def character_map(rules):
+    """A double array of a trie (a block of 256 units for each node) and its outputs, as model files hold them."""
+    import struct
+
+    nodes, outputs, units = {b"": 0}, b"", {}
+    for source in sorted(rules):
+        for k in range(1, len(source) + 1):
+            nodes.setdefault(source[:k], len(nodes))
+    place = {b"": 0}
+    for prefix in sorted(nodes, key=len):
+        base = 256 * (nodes[prefix] + 1)
+        offset = place[prefix] ^ base
+        leaf = prefix in rules
+        units[place[prefix]] = (prefix[-1] if prefix else 0) | leaf << 8 | offset << 10
+        if leaf:
+            units[base] = 1 << 31 | len(outputs)
+            outputs += rules[prefix] + b"\0"
+        for other in nodes:
+            if len(other) == len(prefix) + 1 and other.startswith(prefix):
+                place[other] = base ^ other[-1]
+    trie = b"".join(struct.pack("<I", units.get(i, 0)) for i in range(256 * (len(nodes) + 1)))
+    return struct.pack("<I", len(trie)) + trie + outputs
+
+
+RULES = {"Ａ".encode(): b"a", "ﬁ".encode(): b"fi", "\u00a0".encode(): b" ", "\t".encode(): b" ", b"xy": b"z", b"x": b"b", "½".encode(): b" ab ", "\u200b".encode(): b"", b"ba\xcc\x82": "bâ".encode()}
+
+
+def built_model(kind, mapped, squeeze, prefix, fallback, user):
+    words = ["▁", "a", "b", "f", "i", "z", "ab", "ba", "aba", "bab", "▁a", "▁ab", "fi", "zz", "▁z", "âb", "â", "bâ", "abab", "▁b", "▁ba"]
+    scores = [-2.0, -3.1, -3.3, -4.2, -4.4, -4.1, -3.7, -3.9, -5.2, -5.9, -3.05, -3.55, -4.45, -6.25, -6.5, -7.1, -5.05, -7.7, -8.15, -3.45, -4.65]
+    if kind == 2:  # characters last, merges in order
+        order = [w for w in words if len(w) > 1] + [w for w in words if len(w) == 1]
+        scores = [-float(order.index(w)) for w in words]
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3)] + [(f"<0x{i:02X}>", 0.0, 6) for i in range(256)] * fallback + [(u, 0.0, 4) for u in user] + list(zip(words, scores, [1] * len(words), strict=True))
+    out = b"".join(field(1, field(1, n.encode()) + field(2, s) + field(3, t)) for n, s, t in pieces)
+    out += field(2, field(3, kind) + field(35, int(fallback)) + field(40, 0) + field(41, 1) + field(42, -1 % 2**64) + field(43, -1 % 2**64))
+    return out + field(3, field(1, b"own") + field(2, character_map(RULES) if mapped else b"") + field(3, int(prefix)) + field(4, int(squeeze)) + field(5, 1))
+
+
+@pytest.mark.parametrize(("kind", "mapped", "squeeze", "prefix", "fallback", "user"), [(1, True, True, True, False, ()), (1, True, False, False, True, ("<ab>", "zz!")), (1, False, True, True, True, ("ba<",)), (2, True, True, True, True, ()), (2, True, True, True, False, ("<ab>", "ab!")), (2, False, False, True, False, ()), (2, True, False, False, True, ())])
+def test_built_models_equal_the_library(kind, mapped, squeeze, prefix, fallback, user):
+    """Models of both kinds, with a character map, with symbols of the user, with and without byte fallback."""
+    import sentencepiece
+
+    data = built_model(kind, mapped, squeeze, prefix, fallback, user)
+    fst, library = sentencepiece_fst.Transducer(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    rnd = random.Random(kind)
+    alphabet = [*"aaabbbzfix  â", "Ａ", "ﬁ", "\u00a0", "\t", "xy", "½", "\u200b", "漢", "<ab>", "ab!", "zz!", "ba<", "q"]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 14))) for _ in range(3000)]
+    for t in texts:
+        assert np.frombuffer(fst.encode(t), dtype="<i4").tolist() == library.encode(t), t
+
+
+def test_arcs_of_merges_weigh_what_merging_says():
+    fst, _ = models()
+    rnd = random.Random(12)
+    ids = [i for n, i in fst.pieces.items() if i in fst.halves and set(n) <= set("▁abcdefghijklmnopqrstuvwxyz")]
+    for _ in range(4000):
+        a, b = rnd.choice(ids), rnd.choice(ids)
+        assert fst._stay(a, b) == (fst._merges(fst.names[a] + fst.names[b])[0] == [fst.names[a], fst.names[b]])
+
+
+def test_long_texts_are_encoded_whole():
+    fst, library = models()
+    for t in ("x" * 100_000, "漢" * 30_000, "ab" * 50_000, " " * 5000 + "a", "a b" * 50_000):
+        assert np.frombuffer(fst.encode(t), dtype="<i4").tolist() == library.encode(t)
+
+
 def test_sentencepiece_rows(spark):
     texts = [(1, None), (2, ""), (3, "hello  wörld 漢\n"), (4, "x" * 50_000), (4, "x" * 50_000)]
     path = P.path("piece_bpe_32k.model")
