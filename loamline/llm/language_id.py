@@ -8,8 +8,10 @@ what texts say against what is declared. Host priors are smoothed toward the reg
 top-level domain's, and those toward all pages'; a page never counts in its own prior.
 
 The trigram model is learned from a sample of labelled documents, bounded for each language (``SAMPLE``, by hash of the
-id), so that no language is missing. Defined results: pages without text are judged by the other evidence; without a url the prior is that of all pages; without any
-labelled document there are no languages and every page gets null; repeated rows are each judged; nulls count as missing.
+id), so that no language is missing. Defined results: pages without text are judged by the other evidence, long ones by their whole
+text; without a url the prior is that of the other pages without one; without any
+labelled document there are no languages and every page gets null; of equally likely languages the first in the alphabet is named;
+repeated rows are each judged; nulls count as missing; an empty table of pages gives no rows; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -62,9 +64,10 @@ def trigrams(text: str | None) -> np.ndarray:
 
 def learn_trigrams(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages, and logarithms of their trigram chances, from documents (doc_id, text, lang)."""
-    labelled = docs.filter("lang IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rates = labelled.groupBy("lang").agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("rate"))
-    place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text"))), F.lit(1 << 30)) / float(1 << 30)
+    given = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    labelled = given.filter("lang IS NOT NULL")
+    rates = labelled.groupBy("lang").agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("rate"))  # as many as languages
+    place = F.pmod(F.xxhash64(F.coalesce("doc", F.xxhash64("text"))), F.lit(1 << 30)) / float(1 << 30)
     rows = labelled.join(F.broadcast(rates), "lang").filter(place < F.col("rate")).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +87,7 @@ def learn_trigrams(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np
     for i, r in enumerate(got):
         for bucket, n in r["n"]:
             table[i, bucket] += n
-    return [r["lang"] for r in got], np.log(table / table.sum(axis=1, keepdims=True))
+    return [r["lang"] for r in got], np.log(table / table.sum(axis=1, keepdims=True)) if got else table
 
 
 def text_evidence(text: str, table: np.ndarray) -> np.ndarray:
@@ -96,18 +99,10 @@ def text_evidence(text: str, table: np.ndarray) -> np.ndarray:
     return logs - logs.max()
 
 
-def _posterior(logs: Column) -> Column:
-    top = F.array_max(logs)
-    likely = F.transform(logs, lambda x: F.exp(x - top))
-    total = F.aggregate(likely, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(likely, lambda x: x / total)
-
-
-def _plus(*parts: Column) -> Column:
-    out = parts[0]
-    for p in parts[1:]:
-        out = F.zip_with(out, p, lambda a, b: a + b)
-    return out
+def posterior(logs: np.ndarray) -> np.ndarray:
+    """Rows of chances from rows of logarithms that may lack a constant."""
+    likely = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return likely / likely.sum(axis=1, keepdims=True)
 
 
 def _sums(n: int, own: str) -> list[Column]:
@@ -118,20 +113,23 @@ def _array(n: int) -> Column:
     return F.array(*[F.col(f"s{i}") for i in range(n)])
 
 
-def _trust(rows: DataFrame, column: str, langs: list[str]) -> Column:
-    """For each value of a clue (a language or not) the logarithms of its chance given each language, from what texts say."""
-    known = F.when(F.col(column).isin(langs), F.col(column)).when(F.col(column).isNull(), F.lit("")).otherwise(F.lit("?"))
-    got = {r["v"]: [r[f"s{i}"] or 0.0 for i in range(len(langs))] for r in rows.groupBy(known.alias("v")).agg(*_sums(len(langs), "said")).collect()}
+def _lists(column: pa.Array, n: int) -> np.ndarray:
+    """An array column as a matrix; rows without a value become zeros."""
+    return np.array([v if v is not None else [0.0] * n for v in column.to_pylist()], dtype=float).reshape(-1, n)
+
+
+def _trust(rows: DataFrame, column: str, langs: list[str]) -> np.ndarray:
+    """For each value of a clue (none, another, each language) the logarithms of its chance given each language, from what texts say."""
+    known = F.when(F.col(column).isNull(), F.lit("")).when(F.array_contains(F.array(*[F.lit(x) for x in langs]), F.col(column)), F.col(column)).otherwise(F.lit("?"))
+    got = {r["v"]: [r[f"s{i}"] or 0.0 for i in range(len(langs))] for r in rows.groupBy(known.alias("v")).agg(*_sums(len(langs), "said")).collect()}  # as many as languages, and two
     values = ["", "?", *langs]
     count = np.array([got.get(v, [0.0] * len(langs)) for v in values]) + 0.5
-    for i, v in enumerate(langs):
-        count[values.index(v), i] += 2  # a clue more likely tells the truth
-    logs = np.log(count / count.sum(axis=0, keepdims=True))
-    out = F.array(*[F.lit(float(x)) for x in logs[1]])
-    for v, row in zip(values, logs, strict=True):
-        if v != "?":
-            out = F.when(known == v, F.array(*[F.lit(float(x)) for x in row])).otherwise(out)
-    return out
+    for i in range(len(langs)):
+        count[2 + i, i] += 2  # a clue more likely tells the truth
+    return np.log(count / count.sum(axis=0, keepdims=True))
+
+
+CLUES = ("declared", "folder", "top")
 
 
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -145,20 +143,20 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            logs, declared = [], []
-            for page in b.column(2).to_pylist():
-                logs.append(text_evidence(main_text(page), table).tolist())
-                declared.append(declared_language(page))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(declared, pa.string()), pa.array(logs, pa.list_(pa.float64()))], ["page_id", "url", "declared", "logs"])
+            if b.num_rows:
+                html = b.column(2).to_pylist()
+                logs = np.array([text_evidence(main_text(page), table) for page in html])
+                lists = [pa.array(list(m), pa.list_(pa.float64())) for m in (logs, posterior(logs))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(declared_language, html), pa.string()), *lists], ["page_id", "url", "declared", "logs", "said"])
 
-    rows = needed.mapInArrow(run, "page_id bigint, url string, declared string, logs array<double>")
+    rows = needed.mapInArrow(run, "page_id bigint, url string, declared string, logs array<double>, said array<double>")
     labels = F.split("host", r"\.")
     size = F.size(labels)
     rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    rows = rows.select("page_id", "host", "declared", "logs", F.nullif(ascii_lower(F.regexp_extract("path", r"^/([A-Za-z]{2})(?:/|$)", 1)), F.lit("")).alias("folder"), F.element_at(labels, -1).alias("top"), F.when(size > 1, F.array_join(F.slice(labels, F.greatest(size - F.when((size > 2) & (F.length(F.element_at(labels, -2)) <= 3), 2).otherwise(1), F.lit(1)), size), ".")).otherwise(F.col("host")).alias("domain"), _posterior(F.col("logs")).alias("said"))
+    rows = rows.select("page_id", "host", "declared", "logs", "said", F.nullif(ascii_lower(F.regexp_extract("path", r"^/([A-Za-z]{2})(?:/|$)", 1)), F.lit("")).alias("folder"), F.element_at(labels, -1).alias("top"), F.when(size > 1, F.array_join(F.slice(labels, F.greatest(size - F.when((size > 2) & (F.length(F.element_at(labels, -2)) <= 3), 2).otherwise(1), F.lit(1)), size), ".")).otherwise(F.col("host")).alias("domain"))
     rows = materialize(rows, "page-evidence")
     total = rows.count()
-    trust = [_trust(rows, c, langs) for c in ("declared", "folder", "top")]
+    trust = [_trust(rows, c, langs) for c in CLUES]
 
     # Sums of posteriors: all pages, top-level domains, domains, hosts.
     hosts = rows.groupBy("host", "domain", "top").agg(F.count(F.lit(1)).alias("pages"), *_sums(n, "said"))
@@ -169,8 +167,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
     domains = materialize(summed(hosts, "domain", "top"), "domains")
     tops = materialize(summed(domains, "top"), "tops")
-    everything = [r or 0.0 for r in tops.agg(*_sums(n, "had")).first()]
-    whole = np.array(everything) + 1.0
+    whole = np.array([r or 0.0 for r in tops.agg(*_sums(n, "had")).first()]) + 1.0
     base = F.array(*[F.lit(float(x)) for x in whole / whole.sum()])
 
     def share(had: Column, wider: Column) -> Column:
@@ -181,13 +178,19 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     domain_prior = join_uneven(domains.select("domain", "top", F.col("below").alias("hosts"), "had"), top_prior, "top", "below", max(1, domains.count()))
     domain_prior = materialize(domain_prior.select("domain", "hosts", share(F.col("had"), F.col("prior")).alias("prior")), "domain-priors")
     host_prior = join_uneven(hosts, domain_prior, "domain", "hosts", max(1, hosts.count())).select("host", "pages", "had", F.col("prior").alias("wider"))
-    judged = join_uneven(rows, host_prior, "host", "pages", total)
-    others = F.zip_with("had", "said", lambda h, s: F.greatest(h - s, F.lit(0.0)))
-    prior = F.transform(share(others, F.col("wider")), lambda x: F.log(F.greatest(x, F.lit(1e-6))))
-    fused = judged.withColumn("post", _posterior(_plus(F.col("logs"), *trust, prior)))
-    names = F.array(*[F.lit(x) for x in langs])
+    evidence = join_uneven(rows, host_prior, "host", "pages", total).select("page_id", "host", *CLUES, "logs", "said", "had", "wider")
+    at = {lang: 2 + i for i, lang in enumerate(langs)}
 
-    def best(post: str) -> Column:
-        return F.element_at(names, F.array_position(F.col(post), F.array_max(post)).cast("int"))
-
-    return fused.select("page_id", "host", "declared", best("post").alias("lang"), F.round(F.array_max("post"), 9).alias("probability"), best("said").alias("text_lang"))
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            logs, said, had, wider = (_lists(b.column(c), n) for c in ("logs", "said", "had", "wider"))
+            others = np.maximum(had - said, 0.0)  # the page itself doesn't count in its prior
+            logs = logs + np.log(np.maximum((others + SMOOTH * wider) / (others.sum(axis=1, keepdims=True) + SMOOTH), 1e-6))
+            for clue, chances in zip(CLUES, trust, strict=True):
+                logs += chances[[0 if v is None else at.get(v, 1) for v in b.column(clue).to_pylist()]]
+            post = posterior(logs)
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), b.column("declared"), pa.array([langs[i] for i in post.argmax(axis=1)], pa.string()), pa.array(np.round(post.max(axis=1), 9)), pa.array([langs[i] for i in said.argmax(axis=1)], pa.string())], ["page_id", "host", "declared", "lang", "probability", "text_lang"])
+
+    return evidence.mapInArrow(fuse, "page_id bigint, host string, declared string, lang string, probability double, text_lang string")

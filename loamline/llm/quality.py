@@ -5,9 +5,11 @@ grown on one part of the labelled rows by information gain, pruned on the other
 there; the rows it covers are taken away and the next one is grown. What comes out is an ordered list of conjunctions,
 emitted as one Spark conditional expression, so that the verdicts are computed inside the JVM.
 
-Learning takes a bounded sample of labelled rows (``SAMPLE``, by hash of the id). Defined results: null and empty texts
-have no words and fail the base rule; with no or one-sided labels the list is empty and only the base rule rejects;
-repeated rows are each judged; other columns stay untouched in ``reject_rows``.
+Learning takes a bounded sample of labelled rows (``SAMPLE``, by hash of the id); rules and conditions are as many as pass their
+tests. Defined results: null and empty texts have no words and fail the base rule; texts are counted whole; with no or one-sided labels
+the list is empty and only the base rule rejects; a document labelled both ways counts as both; of conditions with equal
+gain the one on the feature listed first, at most before at least, with the lower threshold, is taken;
+repeated rows are each judged; an empty table gives no rows; other columns, whatever their names, stay untouched in ``reject_rows``.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Labelled rows used for learning, at most.
 SAMPLE = 20_000
-#: A rule needs this precision and so many covered rows in its pruning part, and the list at most so many rules.
-PRECISION, SUPPORT, RULES, CONDITIONS = 0.9, 5, 12, 4
+#: A rule needs this precision and so many covered rows in its pruning part.
+PRECISION, SUPPORT = 0.9, 5
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -101,7 +103,7 @@ def covers(rule: Rule, x: np.ndarray) -> np.ndarray:
 def _grow(x: np.ndarray, y: np.ndarray) -> Rule:
     rule: Rule = []
     inside = np.ones(len(x), dtype=bool)
-    while len(rule) < CONDITIONS:
+    while True:  # each condition leaves fewer rows
         p, n = int(y[inside].sum()), int((~y[inside]).sum())
         if not p or not n:
             break
@@ -146,7 +148,7 @@ def learn_list(x: np.ndarray, y: np.ndarray) -> list[Rule]:
     rules: list[Rule] = []
     part = np.arange(len(x)) % 3 == 2
     left = np.ones(len(x), dtype=bool)
-    while len(rules) < RULES and y[left & ~part].any():
+    while y[left & ~part].any():  # each rule takes rows away
         grow, prune = left & ~part, left & part
         rule = _grow(x[grow], y[grow])
         if not rule:
@@ -175,10 +177,12 @@ def verdict(rules: list[Rule], mark: str = "") -> Column:
 
 def learn_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     """Learn from at most ``sample`` labelled rows (doc_id, quality: 0 is rejected)."""
-    chosen = labels.select(F.col("doc_id").cast("bigint").alias("_id"), (F.col("quality") == 0).alias("bad")).dropna().orderBy(F.xxhash64("_id"), "_id", "bad").limit(sample)
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(F.col("_id").alias("doc_id"), "text", "bad")
-    found = text_statistics(rows).join(F.broadcast(chosen.withColumnRenamed("_id", "doc_id")), "doc_id")
-    got = found.filter(~base_failed()).select("doc_id", "bad", *(f"f_{c}" for c in FEATURES)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample).collect()
+    chosen = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.col("quality") == 0).alias("bad")).dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "bad").limit(sample)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = text_statistics(texts.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")).join(F.broadcast(chosen), "doc_id")
+    values = [f"f_{c}" for c in FEATURES]
+    # rows of one document that say the same count once
+    got = found.filter(~base_failed()).select("doc_id", "bad", *values).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "bad", *values).limit(2 * sample).collect()
     if not got:
         return []
     x = np.array([r[2:] for r in got], dtype=float)
@@ -192,12 +196,12 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return text_statistics(docs).select("doc_id", *LONG_FIELDS, base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"))
 
 
-def reject_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that are rejected; all columns stay as they are."""
+def reject_rows(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs without the rows that are rejected; all columns stay as they are, whatever their names."""
     rules = learn_rules(docs, labels)
-    at, first = docs.columns.index("text"), len(docs.columns)
-    names = [*LONG_FIELDS, *(f"f_{c}" for c in FEATURES)]
-    schema = StructType([*docs.schema.fields, *(StructField(f"_{c}", DoubleType()) for c in names)])
+    own = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # no name clashes with those of the statistics
+    at, names = docs.columns.index(text_col), [*LONG_FIELDS, *(f"f_{c}" for c in FEATURES)]
+    schema = StructType([*own.schema.fields, *(StructField(f"_{c}", DoubleType()) for c in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,5 +209,5 @@ def reject_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
             columns = [pa.array([float(s[i]) for s in stats], pa.float64()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, *(f"_{c}" for c in names)])
 
-    judged = docs.mapInArrow(run, schema).filter(~base_failed("_") & verdict(rules, "_"))
-    return judged.select(*judged.columns[:first])
+    judged = own.mapInArrow(run, schema).filter(~base_failed("_") & verdict(rules, "_"))
+    return judged.select(*own.columns).toDF(*docs.columns)

@@ -10,9 +10,9 @@ The sweep runs in ranges of keys: the bounds are quantiles of a bounded sample o
 begin, and each rule is present in every range that its interval touches. Only distinct hosts are swept; the verdicts
 go back to the urls by a join that treats hosts with very many urls apart.
 
-Defined results: a null url or one without ``://`` has an empty host and path and no rule; an empty table gives no rows;
-repeated rows each get their verdict; of equally long rules the first verdict in the alphabet wins; other columns are
-not needed and stay only if named in ``keep``.
+Defined results: a null url or one without ``://`` has an empty host and path and no rule; urls of any length are compared whole; an
+empty table gives no rows; repeated rows each get their verdict; of equally long rules the first verdict in the alphabet wins; other
+columns, whatever their names, are not needed and stay only if named in ``keep`` (a name of the results is theirs).
 """
 
 from __future__ import annotations
@@ -82,8 +82,9 @@ def active_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", keep: tuple[str, ...] = ("page_id",), otherwise: str = "allow") -> DataFrame:
-    """keep, host, path, rule (null if none fits) and verdict of every row."""
-    urls = pages.select(*keep, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    """keep, host, path, rule (null if none fits) and verdict of every row. Columns to keep may have any names but the four."""
+    own = [f"_keep{i}" for i in range(len(keep))]
+    urls = pages.select(*(F.col(k).alias(o) for k, o in zip(keep, own, strict=True)), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     total = pages.count()
     hosts = urls.groupBy("host").agg(F.count(F.lit(1)).alias("urls"))
     hosts = materialize(hosts, "hosts")
@@ -92,4 +93,5 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", keep:
     joined = join_uneven(urls, stacks, "host", "urls", total)
     fits = F.filter("stack", lambda r: F.col("path").startswith(r["path"]))
     best = F.get(F.array_sort(fits), F.lit(0))
-    return joined.withColumn("best", best).select(*keep, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict"))
+    kept = [F.col(o).alias(k) for k, o in zip(keep, own, strict=True) if k not in ("host", "path", "rule", "verdict")]
+    return joined.withColumn("best", best).select(*kept, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict"))
