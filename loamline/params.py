@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+# Names of scenarios, of metrics and of the dimension for layers, which must match the inputs; and the
+# constants of the analysis below.
 #: The four scenarios, in the order in which pooled series run one after another.
 POOL_ORDER = (("counterclim", "histsoc"), ("obsclim", "histsoc"), ("obsclim", "1901soc"), ("counterclim", "1901soc"))
 SCENARIOS = ("obsclim_histsoc", "counterclim_histsoc", "obsclim_1901soc", "counterclim_1901soc")
+LAYER_NAMES = ("depth", "levsoi", "layer", "soil_layer", "lev")
 METRICS = ("d", "m", "pi", "ddd", "drd")
 CELL = ("model", "lat_idx", "lon_idx")
 

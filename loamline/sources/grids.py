@@ -2,28 +2,73 @@
 
 from __future__ import annotations
 
+import functools
+import io
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_classes(spark: SparkSession, path: str, missing: int = -9999) -> DataFrame:
-    """lat_idx, lon_idx, class from a CSV sheet with a line for each row of the grid; the missing code becomes null.
+def read_classes(spark: SparkSession, path: str, missing: int = -9999, sheet: str = "map") -> DataFrame:
+    """lat_idx, lon_idx, class from a sheet with a line for each row of the grid; the missing code becomes null.
 
-    The sheet is converted to CSV once; rows are numbered by a column of their own, named row, if there is one, else the
-    file must be small enough for one split, whose order is kept.
+    path: a workbook (.xlsx), of which the named sheet is read, its first cell with a number being the first of the
+    grid; or the sheet as CSV, in one file.
     """
+    if path.endswith(".xlsx"):
+        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_sheet_reader(sheet, missing), "lat_idx int, lon_idx int, class int")
     raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: F.length(x) > 0)).alias("lat_idx", "line"))
     cells = raw.select("lat_idx", F.posexplode(F.split("line", ",")).alias("lon_idx", "v"))
     return cells.select("lat_idx", "lon_idx", F.nullif(F.expr("try_cast(v AS double)").cast("int"), F.lit(missing)).alias("class"))
 
 
+def _sheet_reader(sheet: str, missing: int):
+    def numbers(content: bytes) -> list[tuple[int, int, float]]:
+        """Row, column and value of every cell of the sheet that holds a number."""
+        with zipfile.ZipFile(io.BytesIO(content)) as book:
+            tag = lambda e: e.tag.rpartition("}")[2]
+            named = [e for e in ElementTree.fromstring(book.read("xl/workbook.xml")).iter() if tag(e) == "sheet" and e.get("name") == sheet]
+            if not named:
+                raise ValueError(f"the workbook has no sheet {sheet}")
+            link = next(v for k, v in named[0].attrib.items() if k.endswith("}id"))
+            target = next(e.get("Target") for e in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")).iter() if e.get("Id") == link)
+            out, row, column = [], -1, -1
+            with book.open(target.lstrip("/") if target.startswith("/") else f"xl/{target}") as f:
+                for event, e in ElementTree.iterparse(f, events=("start", "end")):
+                    if tag(e) == "row" and event == "start":
+                        row, column = int(e.get("r", row + 2)) - 1, -1
+                    elif tag(e) == "row":
+                        e.clear()
+                    elif tag(e) == "c" and event == "end":
+                        letters = (e.get("r") or "").rstrip("0123456789")
+                        column = functools.reduce(lambda n, c: 26 * n + ord(c) - 64, letters, 0) - 1 if letters else column + 1
+                        value = next((x.text for x in e if tag(x) == "v"), None)
+                        if value is not None and e.get("t", "n") == "n":
+                            out.append((row, column, float(value)))
+            return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0).to_pylist():
+                found = numbers(content)
+                known = {(r, c): None if int(v) == missing else int(v) for r, c, v in found}
+                top, left = (min((x[i] for x in found), default=0) for i in range(2))
+                bottom, right = (max((x[i] for x in found), default=-1) for i in range(2))
+                cells = [(r, c) for r in range(top, bottom + 1) for c in range(left, right + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([r - top for r, _ in cells], pa.int32()), pa.array([c - left for _, c in cells], pa.int32()), pa.array([known.get(x) for x in cells], pa.int32())], ["lat_idx", "lon_idx", "class"])
+
+    return run
+
+
 def dense(df: DataFrame, value: str, n_lat: int, n_lon: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """A row for each cell of the grid (and each combination of keys in df), null where df has none."""
-    spark = df.sparkSession
-    grid = spark.range(n_lat * n_lon).select(F.floor(F.col("id") / n_lon).cast("int").alias("lat_idx"), (F.col("id") % n_lon).cast("int").alias("lon_idx"))
-    if keys:
-        names = F.broadcast(df.select(*keys).distinct())  # names of maps: some hundreds
-        grid = grid.join(names)
+    names = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    cells = names.withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(n_lat * n_lon - 1))))
+    grid = cells.select(*keys, F.floor(F.col("_cell") / n_lon).cast("int").alias("lat_idx"), (F.col("_cell") % n_lon).cast("int").alias("lon_idx"))
     return grid.join(df.select(*keys, "lat_idx", "lon_idx", value), [*keys, "lat_idx", "lon_idx"], "left")
 
 

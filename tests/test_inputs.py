@@ -3,6 +3,7 @@ import math
 import struct
 from statistics import NormalDist
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -134,7 +135,7 @@ def test_registry_and_settings(tmp_path, spark):
         catalog.one_match([], "h08", "obsclim")
 
 
-def classic_file(path, layers):
+def classic_file(path, layers, variable="soilmoist", bounds=()):
     """A small classic NetCDF file: time, (depth,) lat, lon; values are 1000 t + 100 k + 10 i + j; one is missing."""
     n_t, n_lat, n_lon = 3, 4, 2
     pad = lambda b: b + b"\0" * (-len(b) % 4)
@@ -142,6 +143,8 @@ def classic_file(path, layers):
     text = lambda k, v: name(k) + struct.pack(">ii", 2, len(v)) + pad(v.encode())
     dims = [("time", n_t), ("depth", layers), ("lat", n_lat), ("lon", n_lon)] if layers else [("time", n_t), ("lat", n_lat), ("lon", n_lon)]
     shape = [n for _, n in dims]
+    used = list(range(len(dims)))
+    dims += [("bnds", 2)] * bool(bounds)
     data = [1000.0 * t + 100 * k + 10 * i + j for t in range(n_t) for k in range(layers or 1) for i in range(n_lat) for j in range(n_lon)]
     data[0] = -9999.0
     fill = name("_FillValue") + struct.pack(">iif", 5, 1, -9999.0)
@@ -150,8 +153,10 @@ def classic_file(path, layers):
         ("lat", [own["lat"]], b"\0" * 8, 6, struct.pack(">4d", 10, 20, 30, 40)),
         ("lon", [own["lon"]], b"\0" * 8, 6, struct.pack(">2d", 1, 2)),
         ("time", [0], struct.pack(">ii", 12, 2) + text("units", "days since 2001-01-01") + text("calendar", "360_day"), 4, struct.pack(">3i", 14, 59, 75)),
-        ("soilmoist", list(range(len(dims))), struct.pack(">ii", 12, 1) + fill, 5, struct.pack(f">{len(data)}f", *data)),
+        (variable, used, struct.pack(">ii", 12, 1) + fill, 5, struct.pack(f">{len(data)}f", *data)),
     ]
+    if bounds:
+        variables.append(("depth_bnds", [own["depth"], own["bnds"]], b"\0" * 8, 6, struct.pack(f">{2 * layers}d", *(x for b in bounds for x in b))))
 
     def head(begins):
         out = b"CDF\x01" + struct.pack(">i", 0) + struct.pack(">ii", 10, len(dims)) + b"".join(name(n) + struct.pack(">i", s) for n, s in dims) + b"\0" * 8
@@ -160,7 +165,7 @@ def classic_file(path, layers):
             out += name(n) + struct.pack(f">i{len(d)}i", len(d), *d) + attrs + struct.pack(">iii", kind, len(body), begin)
         return out
 
-    begins, at = [], len(head([0] * 4))
+    begins, at = [], len(head([0] * len(variables)))
     for v in variables:
         begins.append(at)
         at += len(v[4])
@@ -172,8 +177,8 @@ def classic_file(path, layers):
 def test_classic_netcdf(spark, tmp_path, layers):
     classic_file(tmp_path / "x.nc", layers)
     netcdf.register(spark)
-    df = spark.read.format("netcdf").option("band", 3).load(str(tmp_path / "x.nc"))
-    assert df.rdd.getNumPartitions() == 2
+    df = spark.read.format("netcdf").option("band", 3).option("months", 2).load(str(tmp_path / "x.nc"))
+    assert df.rdd.getNumPartitions() == 4
     rows = df.collect()
     assert len(rows) == 3 * 4 * 2
     assert sorted({(r.year, r.month) for r in rows}) == [(2001, 1), (2001, 2), (2001, 3)]
@@ -190,20 +195,102 @@ def test_times_of_other_calendars():
     assert netcdf.months_since("hours since 1900-02-28 00:00:00", (24,), "standard") == [(1900, 3)]
 
 
-def test_harmonize(spark, tmp_path):
-    from loamline.plans.harmonize import harmonize_all
-
-    for s in catalog.SCENARIOS:
-        classic_file(tmp_path / f"h_{s}.nc", 0)
-        classic_file(tmp_path / f"j_{s}.nc", 2)
-    models = {m: {s: str(tmp_path / f"{m[0]}_{s}.nc") for s in catalog.SCENARIOS} for m in ("h08", "jules-w2")}
-    pairs = harmonize_all(spark, ["h08", "jules-w2"], catalog.Registry({"root": "x"}, models), str(tmp_path / "out"))
-    assert len(pairs) == 8
-    rows = grids.read_soil(spark, str(tmp_path / "out"))
-    assert rows.count() == 8 * 24
-    assert rows.filter("model = 'jules-w2' AND climate = 'obsclim' AND t = 1 AND lat_idx = 1 AND lon_idx = 1").first().sm == 2 * 1011 + 100
+def test_harmonize_with_defaults(spark, tmp_path, monkeypatch, capsys):
+    """The command without arguments: seven models, four scenarios, each from its own file to its registered place."""
+    from loamline.plans import harmonize
+
+    lines, done = ["paths: {root: x}", "models:"], ["processed:", "  models_1m:"]
+    for m in harmonize.MODELS:
+        variable, layers = "rootmoist" if m == "hydropy" else "soilmoist", {"jules-w2": 4, "miroc-integ-land": 4, "lpjml5-7-10-fire": 3}.get(m, 0)
+        bounds = [(0.0, 0.2), (0.2, 1.2), (1.2, 2.0)] if m == "lpjml5-7-10-fire" else ()
+        lines.append(f"  {m}:")
+        done.append(f"    {m}:")
+        for s in catalog.SCENARIOS:
+            classic_file(tmp_path / f"{m}_{s}.nc", layers, variable, bounds)
+            lines.append(f"    {s}: {tmp_path}/{m}_{s}.nc")
+            done.append(f"      {s}: {tmp_path}/out/{m}/{s}_1m.nc")
+        lines.append(f"    variable: {variable}")
+    (tmp_path / "configs").mkdir()
+    (tmp_path / "configs" / "data_registry.yml").write_text("\n".join(lines + done) + "\n")
+    (tmp_path / "configs" / "settings.yml").write_text("depth_target_m: 0.7\n")
+    monkeypatch.chdir(tmp_path)
+    harmonize.main(["--table", str(tmp_path / "table")], spark)
+    assert capsys.readouterr().out.count("wrote ") == 28
+    registry = catalog.Registry.load("configs/data_registry.yml")
+    got = {(r.model, r.climate, r.soc, r.t, r.lat_idx, r.lon_idx): r for r in harmonize.read_harmonized(spark, list(harmonize.MODELS), registry).collect()}
+    assert len(got) == 28 * 24 and {str(r.month) for r in got.values()} == {"2001-01-01", "2001-02-01", "2001-03-01"}
+    for (m, _, _, t, i, j), r in got.items():
+        x = [1000.0 * t + 100 * k + 10 * i + j for k in range(4)]
+        first = t == i == j == 0
+        if m in ("jules-w2", "miroc-integ-land"):
+            want = sum(x[:3]) - (x[0] if first else 0)
+        elif m == "lpjml5-7-10-fire":  # the target depth of the settings
+            want = x[0] * (not first) + x[1] * 0.5
+        else:
+            want = None if first else x[0]
+        assert r.sm == (None if want is None else pytest.approx(want)) and (r.lat, r.lon) == (10.0 * (i + 1), j + 1.0)
+    assert grids.read_soil(spark, str(tmp_path / "table")).count() == len(got)
+    file = netcdf.open_file(str(tmp_path / "out" / "h08" / "obsclim_histsoc_1m.nc"))
+    about = file.attributes("soilmoist_1m")
+    assert (about["units"], about["model"], about["scenario"]) == ("kg m-2", "h08", "obsclim_histsoc") and about["_FillValue"] == (-9999.0,) and about["target_depth_m"][0] == pytest.approx(0.7)
     with pytest.raises(KeyError):
-        harmonize_all(spark, ["none"], catalog.Registry({"root": "x"}, models), str(tmp_path / "out2"))
+        harmonize.harmonize_all(spark, ["none"], registry)
+
+
+def test_layer_bounds_are_needed(spark, tmp_path):
+    from loamline.plans.harmonize import harmonized
+
+    classic_file(tmp_path / "l.nc", 2)
+    registry = catalog.Registry({"root": "x"}, {"lpjml5-7-10-fire": {"obsclim_histsoc": str(tmp_path / "l.nc")}})
+    with pytest.raises(KeyError, match="bounds"):
+        harmonized(spark, "lpjml5-7-10-fire", "obsclim_histsoc", registry)
+
+
+def test_series_with_missing_rows(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0, 0, 1.5), (1, 1, 1, None)], "lat_idx int, lon_idx int, t int, sm double")
+    path = netcdf.write_series(df, str(tmp_path / "s.nc"), [1.0, 2.0, 3.0], [5.0, 6.0], [(1901, 1), (1901, 2)], "v", {"units": "x"})
+    netcdf.register(spark)
+    rows = spark.read.format("netcdf").option("variable", "v").load(path).collect()
+    assert {(r.t, r.lat_idx, r.lon_idx): r.layers[0] for r in rows if r.layers[0] is not None} == {(0, 1, 0): 1.5} and len(rows) == 12
+    assert [p.name for p in tmp_path.iterdir()] == ["s.nc"]
+
+
+def test_land(spark, tmp_path):
+    from loamline.sources.land import FRACTIONS, read_land
+
+    own = {}
+    for k, v in enumerate([*FRACTIONS.values()]):
+        own[v] = np.arange(12.0).reshape(2, 3, 2) + 100 * k
+    dims = {"time": 2, "lat": 3, "lon": 2}
+    coords = [("time", ["time"], {"units": "days since 1901-01-01"}, "d"), ("lat", ["lat"], {}, "d"), ("lon", ["lon"], {}, "d")]
+
+    def write(name, variables, over):
+        head, begins = netcdf.classic_header(dims, coords + [(v, over, {}, "d") for v in variables])
+        data = [np.array([0.0, 365.0]), np.arange(3.0), np.arange(2.0), *variables.values()]
+        (tmp_path / name).write_bytes(head + b"".join(x.astype(">f8").tobytes() for x in data))
+        return str(tmp_path / name)
+
+    fractions = write("f.nc", own, ["time", "lat", "lon"])
+    roots = {k: write(f"{k}.nc", {"maxRootDepth": np.arange(6.0).reshape(3, 2) + i}, ["lat", "lon"]) for i, k in enumerate(("forest", "grass", "paddy", "nonpaddy"))}
+    stores = tuple(write(f"s{i}.nc", {v: np.arange(6.0).reshape(3, 2) * 10}, ["lat", "lon"]) for i, v in enumerate(("firstStorDepth", "secondStorDepth")))
+    cover, soil = read_land(spark, fractions, roots, stores)
+    assert cover.count() == 12 and soil.count() == 6
+    c, s = cover.filter("year_idx = 1 AND lat_idx = 2 AND lon_idx = 1").first(), soil.filter("lat_idx = 2 AND lon_idx = 1").first()
+    assert (c.f_forest, c.f_grass, c.f_paddy, c.f_nonpaddy) == (11.0, 111.0, 211.0, 311.0)
+    assert (s.root_forest, s.root_nonpaddy, s.store1, s.store2) == (5.0, 8.0, 50.0, 50.0)
+
+
+def test_classes_from_a_workbook(spark, tmp_path):
+    import zipfile
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    rows = '<row r="1"><c r="A1" t="s"><v>0</v></c></row><row r="2"><c r="B2"><v>1</v></c><c r="C2"><v>30</v></c></row><row r="3"><c r="B3"><v>-9999</v></c><c r="AB3" t="s"><v>4</v></c></row>'
+    with zipfile.ZipFile(tmp_path / "k.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="other" sheetId="1" r:id="r1"/><sheet name="map" sheetId="2" r:id="r2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/a.xml"/><Relationship Id="r2" Target="worksheets/b.xml"/></Relationships>')
+        z.writestr("xl/worksheets/b.xml", f'<worksheet xmlns="{main}"><sheetData>{rows}</sheetData></worksheet>')
+    got = {(r.lat_idx, r.lon_idx): r["class"] for r in grids.read_classes(spark, str(tmp_path / "k.xlsx")).collect()}
+    assert got == {(0, 0): 1, (0, 1): 30, (1, 0): None, (1, 1): None}
 
 
 def test_grids(spark, tmp_path):
