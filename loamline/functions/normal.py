@@ -40,19 +40,3 @@ def norm_inv(p: Column) -> Column:
     z = F.when(F.abs(q) <= 0.425, q * _ratio(CENTRE, near)).otherwise(F.when(q < 0, -tail).otherwise(tail))
     return F.when((p > 0) & (p < 1), z)
 
-
-def norm_inv_sql(p: str) -> str:
-    """The same as SQL text over a column or expression of type double."""
-
-    def polynomial(terms: tuple[float, ...], x: str) -> str:
-        out = f"{terms[-1]!r}e0" if "e" not in repr(terms[-1]) else repr(terms[-1])
-        for c in reversed(terms[:-1]):
-            out = f"({out} * {x} + {c!r}{'' if 'e' in repr(c) else 'e0'})"
-        return out
-
-    def ratio(pair, x: str) -> str:
-        return f"{polynomial(pair[0], x)} / {polynomial(pair[1], x)}"
-
-    q, r = f"({p} - 0.5e0)", f"sqrt(-ln(least({p}, 1e0 - {p})))"
-    tail = f"CASE WHEN {r} <= 5e0 THEN {ratio(MIDDLE, f'({r} - 1.6e0)')} ELSE {ratio(TAIL, f'({r} - 5e0)')} END"
-    return f"CASE WHEN abs({q}) <= 0.425e0 THEN {q} * {ratio(CENTRE, f'(0.180625e0 - {q} * {q})')} WHEN {q} < 0 THEN -({tail}) ELSE {tail} END"

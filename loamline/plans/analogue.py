@@ -59,10 +59,10 @@ def soil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """model, cell, t, layers: seven layers of one scenario, null where nothing was shipped."""
-    rows = shipped(spark, sf_dir).filter("climate = 'obsclim' AND soc = 'histsoc'")
+    """model, cell, climate, soc, t, layers: seven layers of every scenario, null where nothing was shipped."""
     each = [F.sum(F.when(F.col("layer") == k, F.col("quantity"))).alias(f"l{k}") for k, _, _ in BOUNDS]
-    return place(rows.groupBy("model", "cell", "t").agg(*each).select("model", "cell", "t", F.array(*[f"l{k}" for k, _, _ in BOUNDS]).alias("layers")))
+    keys = ("model", "cell", "climate", "soc", "t")
+    return place(shipped(spark, sf_dir).groupBy(*keys).agg(*each).select(*keys, F.array(*[f"l{k}" for k, _, _ in BOUNDS]).alias("layers")))
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:

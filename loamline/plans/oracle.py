@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from ..functions.normal import norm_inv_sql
 from ..operators.ensemble import DIFFERENCES
 from ..params import METRICS
 from . import analogue as A
@@ -11,6 +10,16 @@ P = A.PARAMS
 CELL = "model, lat_idx, lon_idx"
 
 
+def quantile(p: str) -> str:
+    """The normal quantile by Newton's method on the series of the distribution function, which shares nothing with the
+    rational approximation of the engine: z with 1/2 + density(z) * sum of z^(2k+1) / (2k+1)!! = p, for the upper half."""
+    m = f"least({p}, 1e0 - {p})"
+    density = "exp(-z * z / 2) / sqrt(2 * pi())"
+    series = "list_sum(list_transform(range(90), lambda k: exp((2 * k + 1) * ln(greatest(z, 1e-300)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1))))"
+    start = f"4.91e0 * ((1e0 - {m}) ** 0.14e0 - {m} ** 0.14e0)"
+    return f"(CASE WHEN {p} < 0.5e0 THEN -1 ELSE 1 END) * list_reduce([{start}{', 0e0' * 12}], lambda z, i: z - (0.5e0 + {density} * {series} - (1e0 - {m})) / ({density}))"
+
+
 def _values(rows) -> str:
     return ", ".join("(" + ", ".join(repr(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
 
@@ -30,9 +39,9 @@ soil AS (
           FROM (SELECT DISTINCT o_orderpriority AS model FROM orders), range(10) c(cell), scenarios, range({P.months}) m(t)) g
     LEFT JOIN sums s ON s.model = g.model AND s.cell = g.cell AND s.climate = g.climate AND s.soc = g.soc AND s.t = g.t)"""
 LAYERED = f"""{SHIPPED}, layered AS (
-    SELECT model, CAST(cell // 5 AS INTEGER) AS lat_idx, CAST(cell % 5 AS INTEGER) AS lon_idx, cell, t,
+    SELECT model, CAST(cell // 5 AS INTEGER) AS lat_idx, CAST(cell % 5 AS INTEGER) AS lon_idx, cell, climate, soc, t,
            {", ".join(f"sum(quantity) FILTER (layer = {k}) AS l{k}" for k, _, _ in A.BOUNDS)}
-    FROM shipped WHERE climate = 'obsclim' AND soc = 'histsoc' GROUP BY model, cell, t)"""
+    FROM shipped GROUP BY model, cell, climate, soc, t)"""
 POOL = f"{SOIL}, pool AS (SELECT {CELL}, scn, t, scn * {P.months} + t AS g, sm AS x FROM soil)"
 SLICES = f"slices(slice, scn0, t0, climate, soc, period) AS (VALUES {_values([(s.number, s.scenario, s.t0, s.climate, s.soc, s.period) for s in P.slices()])})"
 TOTAL = P.months * len(P.pool)
@@ -47,7 +56,7 @@ seasons AS (SELECT *, CAST((g - 2) % 12 AS INTEGER) AS k FROM summed WHERE y IS
 counted AS (SELECT *, count(*) OVER (PARTITION BY {CELL}, slice, k ORDER BY y RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bp,
                    count(*) OVER (PARTITION BY {CELL}, slice, k) AS n FROM seasons),
 ranks AS (SELECT {CELL}, CAST(slice AS INTEGER) AS slice, t, k, y, bp, n FROM counted WHERE t >= 2)"""
-SCORED = f"{RANKS}, placed AS (SELECT *, (bp - 0.44e0) / (n + 0.12e0) AS p FROM ranks), scored AS (SELECT *, {norm_inv_sql('p')} AS z FROM placed)"
+SCORED = f"{RANKS}, placed AS (SELECT *, (bp - 0.44e0) / (n + 0.12e0) AS p FROM ranks), scored AS (SELECT *, {quantile('p')} AS z FROM placed)"
 
 
 def _runs(source: str) -> str:
@@ -117,27 +126,28 @@ LAND = f"""{LAYERED}, grown AS (
     SELECT *, ((cell + t // 12) % 4) / 8e0 AS f_forest, ((cell + t // 12 + 1) % 4) / 8e0 AS f_grass, ((cell + t // 12 + 2) % 4) / 8e0 AS f_paddy, ((cell + t // 12 + 3) % 4) / 8e0 AS f_nonpaddy,
            1e0 + (cell % 3) / 4e0 AS root_forest, 0.5e0 + (cell % 3) / 4e0 AS root_grass, 0.25e0 + (cell % 3) / 4e0 AS root_paddy, 0.75e0 + (cell % 3) / 4e0 AS root_nonpaddy,
            greatest(0.05e0, 0.25e0 + (cell % 2) / 2e0 - 0.05e0) AS d1, greatest(0.05e0, 1e0 + (cell % 4) / 4e0) AS d2,
-           first_value(l1) OVER (PARTITION BY model, cell, t // 12 ORDER BY t) AS january FROM layered)"""
+           first_value(l1) OVER (PARTITION BY model, cell, climate, soc, t // 12 ORDER BY t) AS january FROM layered)"""
 
 SQL: dict[str, str] = {
     "month_start": "SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-01') AS month FROM lineitem",
     "period_slice": f"WITH {SOIL} SELECT model, climate, soc, lat_idx, lon_idx, strftime(month, '%Y-%m-%d') AS month, sm FROM soil WHERE soil.month BETWEEN DATE '1996-01-01' AND DATE '1997-12-01'",
     "first_and_last_months": f"WITH {SOIL} SELECT model, climate, soc, lat_idx, lon_idx, t, sm, 'EI' AS period FROM soil WHERE t < 24 UNION ALL SELECT model, climate, soc, lat_idx, lon_idx, t, sm, 'RP' FROM soil WHERE t >= 48",
-    "single_layer": f"WITH {SOIL} SELECT 'hydropy' AS model, climate, soc, lat_idx, lon_idx, strftime(month, '%Y-%m-%d') AS month, sm AS rootmoist, sm FROM soil WHERE climate = 'obsclim' AND soc = 'histsoc'",
-    "first_layers": f"WITH {LAYERED} SELECT {CELL}, t, coalesce(l0, 0) + coalesce(l1, 0) + coalesce(l2, 0) AS skipped, l0 + l1 + l2 AS strict FROM layered",
-    "depth_overlap": f"WITH {LAYERED} SELECT {CELL}, t, round({' + '.join(f'coalesce(l{k} * {v!r}e0, 0)' for k, v in _SHARE.items())}, 9) AS sm FROM layered",
+    "single_layer": f"WITH {SOIL} SELECT 'hydropy' AS model, climate, soc, lat_idx, lon_idx, strftime(month, '%Y-%m-%d') AS month, sm AS rootmoist, sm FROM soil",
+    "first_layers": f"WITH {LAYERED} SELECT {CELL}, climate, soc, t, coalesce(l0, 0) + coalesce(l1, 0) + coalesce(l2, 0) AS skipped, l0 + l1 + l2 AS strict FROM layered",
+    "depth_overlap": f"WITH {LAYERED} SELECT {CELL}, climate, soc, t, round({' + '.join(f'coalesce(l{k} * {v!r}e0, 0)' for k, v in _SHARE.items())}, 9) AS sm FROM layered",
     "layer_shares": f"SELECT CAST(layer AS INTEGER) AS layer, round(coalesce(greatest(least(bot, 1e0) - greatest(top, 0e0), 0e0) / nullif(bot - top, 0e0), 0e0), 9) AS share FROM (VALUES {_values([(k, f'@{a}', f'@{b}') for k, a, b in A.BOUNDS])}) v(layer, top, bot)".replace("'@", "").replace("'", "").replace("0.0,", "0e0,"),
-    "thinned_third_layer": f"WITH {LAYERED} SELECT {CELL}, t, round(l0 + l1 + l2 * ((1e0 - 0.48e0) / (2e0 - 0.48e0)), 9) AS sm FROM layered",
-    "land_cover_column": f"WITH {LAND} SELECT {CELL}, t, round({_land('january')}, 9) AS january, round({_land('l1')}, 9) AS monthly FROM grown",
-    "last_month_repair": f"WITH {LAYERED}, s AS (SELECT {CELL}, t, CASE WHEN t = 71 THEN 0e0 ELSE coalesce(l0, 0) + coalesce(l1, 0) + coalesce(l2, 0) END AS sm FROM layered), r AS (SELECT {CELL}, t, CASE WHEN t = 71 THEN lag(sm) OVER (PARTITION BY {CELL} ORDER BY t) ELSE sm END AS fixed FROM s) SELECT {CELL}, t, fixed AS auto, CASE WHEN t = 71 THEN lag(fixed) OVER (PARTITION BY {CELL} ORDER BY t) ELSE fixed END AS always FROM r",
+    "thinned_third_layer": f"WITH {LAYERED} SELECT {CELL}, climate, soc, t, round(l0 + l1 + l2 * ((1e0 - 0.48e0) / (2e0 - 0.48e0)), 9) AS sm FROM layered",
+    "land_cover_column": f"WITH {LAND} SELECT {CELL}, climate, soc, t, round({_land('january')}, 9) AS january, round({_land('l1')}, 9) AS monthly FROM grown",
+    "model_recipes": f"WITH {LAYERED}, sums AS (SELECT *, coalesce(l0, 0) + coalesce(l1, 0) + coalesce(l2, 0) AS three, l0 + l1 + l2 * ((1e0 - 0.48e0) / (2e0 - 0.48e0)) AS thinned, {' + '.join(f'coalesce(l{k} * {v!r}e0, 0)' for k, v in _SHARE.items())} AS metre FROM layered) SELECT model AS series, recipe, lat_idx, lon_idx, climate, soc, t, round(CASE recipe WHEN 'hydropy' THEN l1 WHEN 'jules-w2' THEN three WHEN 'miroc-integ-land' THEN three WHEN 'classic' THEN three WHEN 'ssib4-triffid-fire' THEN thinned WHEN 'lpjml5-7-10-fire' THEN metre ELSE l0 END, 9) AS sm FROM sums, (VALUES ('h08'), ('hydropy'), ('jules-w2'), ('miroc-integ-land'), ('watergap2-2e'), ('web-dhm-sg'), ('lpjml5-7-10-fire'), ('classic'), ('ssib4-triffid-fire')) r(recipe)",
+    "last_month_repair": f"WITH {LAYERED}, s AS (SELECT {CELL}, climate, soc, t, CASE WHEN t = 71 THEN 0e0 ELSE coalesce(l0, 0) + coalesce(l1, 0) + coalesce(l2, 0) END AS sm FROM layered), r AS (SELECT {CELL}, climate, soc, t, CASE WHEN t = 71 THEN lag(sm) OVER (PARTITION BY {CELL}, climate, soc ORDER BY t) ELSE sm END AS fixed FROM s) SELECT {CELL}, climate, soc, t, fixed AS auto, CASE WHEN t = 71 THEN lag(fixed) OVER (PARTITION BY {CELL}, climate, soc ORDER BY t) ELSE fixed END AS always FROM r",
     "validity": f"WITH {POOL}, h AS (SELECT {CELL}, g, CASE WHEN lon_idx = 1 AND g = 0 THEN NULL WHEN lon_idx = 2 AND g = 7 THEN -1e0 WHEN lon_idx = 3 THEN 0e0 ELSE x END AS x FROM pool) SELECT {CELL}, count(*) AS n, max(CASE WHEN g = 0 THEN x END) IS NOT NULL AND (sum(x) <> 0 OR count(x) < count(*)) AS begins, bool_and(x IS NOT NULL AND x >= 0) AS complete FROM h GROUP BY {CELL}",
     "pool_union": f"WITH {POOL} SELECT {CELL}, CAST(scn AS INTEGER) AS scn, count(*) AS n, CAST(min(g) AS INTEGER) AS first_g, CAST(max(g) AS INTEGER) AS last_g, sum(x) AS total FROM pool GROUP BY {CELL}, scn",
     "rolling_sum": f"WITH {POOL} SELECT {CELL}, CAST(g AS INTEGER) AS g, lag(x, 2) OVER w + lag(x, 1) OVER w + x AS y FROM pool WINDOW w AS (PARTITION BY {CELL} ORDER BY g)",
     "weak_rank": f"WITH {RANKS} SELECT * FROM ranks",
     "plotting_position": f"WITH {SCORED} SELECT {CELL}, slice, t, round(p, 9) AS p FROM scored",
     "standardized_index": f"WITH {SCORED} SELECT {CELL}, slice, t, round(z, 9) AS z FROM scored",
-    "reference_index": f"WITH {POOL}, good AS (SELECT {CELL} FROM pool GROUP BY ALL HAVING bool_and(x IS NOT NULL AND x >= 0) AND sum(x) <> 0), y AS (SELECT {CELL}, g, lag(x, 2) OVER w + lag(x, 1) OVER w + x AS y FROM pool SEMI JOIN good USING ({CELL}) WINDOW w AS (PARTITION BY {CELL} ORDER BY g)), r AS (SELECT *, (count(*) OVER (PARTITION BY {CELL}, (g - 2) % 12 ORDER BY y RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 0.44e0) / (count(*) OVER (PARTITION BY {CELL}, (g - 2) % 12) + 0.12e0) AS p FROM y WHERE y IS NOT NULL) SELECT {CELL}, CAST(g AS INTEGER) AS g, round(p, 9) AS p, round({norm_inv_sql('p')}, 9) AS z FROM r",
-    "inverse_normal": f"SELECT event_id, round({norm_inv_sql('p')}, 9) AS z FROM (SELECT event_id, (event_id + 0.5e0) / 100001e0 AS p FROM events)",
+    "reference_index": f"WITH {POOL}, good AS (SELECT {CELL} FROM pool GROUP BY ALL HAVING bool_and(x IS NOT NULL AND x >= 0) AND sum(x) <> 0), y AS (SELECT {CELL}, g, lag(x, 2) OVER w + lag(x, 1) OVER w + x AS y FROM pool SEMI JOIN good USING ({CELL}) WINDOW w AS (PARTITION BY {CELL} ORDER BY g)), r AS (SELECT *, (count(*) OVER (PARTITION BY {CELL}, (g - 2) % 12 ORDER BY y RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 0.44e0) / (count(*) OVER (PARTITION BY {CELL}, (g - 2) % 12) + 0.12e0) AS p FROM y WHERE y IS NOT NULL) SELECT {CELL}, CAST(g AS INTEGER) AS g, round(p, 9) AS p, round({quantile('p')}, 9) AS z FROM r",
+    "inverse_normal": f"SELECT event_id, round({quantile('p')}, 9) AS z FROM (SELECT event_id, (event_id + 0.5e0) / 100001e0 AS p FROM events)",
     "drought_runs": f"WITH {RUNS} SELECT {CELL}, slice, t, t0, round(z1, 9) AS z1 FROM dry WHERE low <= -1",
     "drought_events": f"WITH {RUNS} SELECT {CELL}, slice, t0, d, round(m, 9) AS m, round(m / d, 9) AS pi, CAST(ddd AS BIGINT) AS ddd, CAST(d - ddd AS BIGINT) AS drd FROM found",
     "cell_metrics": f"WITH {METRICS_SQL} SELECT model, climate, soc, period, lat_idx, lon_idx, {ROUNDED} FROM metrics",
@@ -148,6 +158,8 @@ SQL: dict[str, str] = {
     "median_differences": f"WITH {DIFFS} SELECT name, lat_idx, lon_idx, {', '.join(f'round(median({c}), 9) AS {c}' for c in METRICS)} FROM diffs GROUP BY name, lat_idx, lon_idx",
     "ensemble_medians": f"WITH {MEDIANS} SELECT climate, soc, period, lat_idx, lon_idx, {ROUNDED} FROM medians",
     "ascii_grid": f"WITH {MEDIANS}, full_grid AS (SELECT climate, soc, period, CAST(i AS INTEGER) AS lat_idx, CAST(j AS INTEGER) AS lon_idx FROM (SELECT DISTINCT climate, soc, period FROM medians), range({A.LATS}) a(i), range({A.LONS}) b(j)) SELECT climate, soc, period, CAST({A.LATS - 1} - lat_idx AS INTEGER) AS row, string_agg(coalesce(printf('%.4f', d), '-9999'), ' ' ORDER BY lon_idx) AS line FROM full_grid LEFT JOIN medians USING (climate, soc, period, lat_idx, lon_idx) GROUP BY climate, soc, period, lat_idx",
+    "model_maps": f"WITH {MASKED}, long AS (SELECT concat_ws('_', model, climate, soc, period, metric) AS map, lat_idx, lon_idx, v FROM masked UNPIVOT INCLUDE NULLS (v FOR metric IN (d, pi))), full_grid AS (SELECT map, CAST(i AS INTEGER) AS lat_idx, CAST(j AS INTEGER) AS lon_idx FROM (SELECT DISTINCT map FROM long), range({A.LATS}) a(i), range({A.LONS}) b(j)) SELECT map, CAST({A.LATS - 1} - lat_idx AS INTEGER) AS row, string_agg(coalesce(printf('%.4f', v), '-9999'), ' ' ORDER BY lon_idx) AS line FROM full_grid LEFT JOIN long USING (map, lat_idx, lon_idx) GROUP BY map, lat_idx UNION ALL SELECT map, CAST(n AS INTEGER), line FROM (SELECT DISTINCT map FROM long), (VALUES (-100, 'ncols {A.LONS}'), (-99, 'nrows {A.LATS}'), (-98, 'xllcorner -180'), (-97, 'yllcorner -90'), (-96, 'cellsize 0.5'), (-95, 'NODATA_value -9999')) h(n, line)",
+    "registry_paths": "SELECT m AS model, s AS scenario, 'raw/' || m || '_' || s || '.nc' AS raw, 'out/' || m || '/' || s || '_1m.nc' AS processed, v AS variable FROM (VALUES ('h08', 'soilmoist'), ('hydropy', 'rootmoist')) a(m, v), (VALUES ('obsclim_histsoc'), ('counterclim_histsoc'), ('obsclim_1901soc'), ('counterclim_1901soc')) b(s)",
     "latitude_weights": f"WITH {WEIGHTS} SELECT lat, round(w, 9) AS w FROM weights",
     "global_mean_series": f"WITH {MEAN} SELECT model, strftime(month, '%Y-%m-%d') AS month, round(gm, 9) AS gm FROM gm",
     "climatology": f"WITH {MEAN} SELECT model, CAST(month(month) AS INTEGER) AS month, round(avg(gm), 9) AS clim FROM gm GROUP BY ALL",

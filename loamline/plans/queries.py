@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
+from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,11 +14,12 @@ from ..functions.normal import norm_inv
 from ..operators import ensemble, events, months, quality_checks, recipes, ssi
 from ..params import CELL, METRICS
 from ..sources.catalog import Registry
-from ..sources.grids import ascii_rows
+from ..sources.grids import ascii_rows, map_lines
 from . import analogue as A
 from .attribution import metrics
 
 P = A.PARAMS
+SERIES = (*CELL, "climate", "soc")
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -67,20 +71,30 @@ def first_and_last_months(spark, sf_dir):
 
 @query
 def single_layer(spark, sf_dir):
-    raw = A.soil(spark, sf_dir).filter("climate = 'obsclim' AND soc = 'histsoc'").withColumnRenamed("sm", "rootmoist")
-    return _dated(recipes.tag(raw.transform(recipes.recipe_for("hydropy")), "hydropy", "obsclim_histsoc").select("model", "climate", "soc", "lat_idx", "lon_idx", "month", "rootmoist", "sm"))
+    raw = A.soil(spark, sf_dir).withColumnRenamed("sm", "rootmoist")
+    parts = [recipes.tag(raw.filter((F.col("climate") == c) & (F.col("soc") == s)).transform(recipes.recipe_for("hydropy")), "hydropy", f"{c}_{s}") for c, s in P.pool]
+    return _dated(reduce(DataFrame.unionByName, parts).select("model", "climate", "soc", "lat_idx", "lon_idx", "month", "rootmoist", "sm"))
 
 
 @query
 def first_layers(spark, sf_dir):
     raw = A.layered(spark, sf_dir)
     rows = raw.transform(recipes.recipe_for("jules-w2")).withColumnRenamed("sm", "skipped")
-    return rows.transform(recipes.recipe_for("miroc-integ-land", skip_missing=False)).select(*CELL, "t", "skipped", F.col("sm").alias("strict"))
+    return rows.transform(recipes.recipe_for("miroc-integ-land", skip_missing=False)).select(*SERIES, "t", "skipped", F.col("sm").alias("strict"))
 
 
 @query
 def depth_overlap(spark, sf_dir):
-    return A.layered(spark, sf_dir).transform(recipes.overlap(A.bounds(spark))).select(*CELL, "t", F.round("sm", 9).alias("sm"))
+    return A.layered(spark, sf_dir).transform(recipes.overlap(A.bounds(spark))).select(*SERIES, "t", F.round("sm", 9).alias("sm"))
+
+
+@query
+def model_recipes(spark, sf_dir):
+    """Every recipe by the name of its model."""
+    raw = A.layered(spark, sf_dir).withColumns({"soilmoist": F.get("layers", F.lit(0)), "rootmoist": F.get("layers", F.lit(1))})
+    names = [*recipes.NOTES, "classic", "ssib4-triffid-fire"]
+    parts = [raw.transform(recipes.recipe_for(n, bounds=A.bounds(spark))).select(F.col("model").alias("series"), F.lit(n).alias("recipe"), "lat_idx", "lon_idx", "climate", "soc", "t", F.round("sm", 9).alias("sm")) for n in names]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query
@@ -90,7 +104,7 @@ def layer_shares(spark, sf_dir):
 
 @query
 def thinned_third_layer(spark, sf_dir):
-    return A.layered(spark, sf_dir).transform(recipes.thinned_third()).select(*CELL, "t", F.round("sm", 9).alias("sm"))
+    return A.layered(spark, sf_dir).transform(recipes.thinned_third()).select(*SERIES, "t", F.round("sm", 9).alias("sm"))
 
 
 @query
@@ -99,7 +113,7 @@ def land_cover_column(spark, sf_dir):
     raw = A.layered(spark, sf_dir)
     rows = raw.transform(recipes.land_cover_column(cover, ground)).withColumnRenamed("sm", "january")
     rows = rows.transform(recipes.land_cover_column(cover, ground, january_second_layer=False))
-    return _rounded(rows.select(*CELL, "t", "january", F.col("sm").alias("monthly")), "january", "monthly")
+    return _rounded(rows.select(*SERIES, "t", "january", F.col("sm").alias("monthly")), "january", "monthly")
 
 
 @query
@@ -107,9 +121,9 @@ def last_month_repair(spark, sf_dir):
     last = F.col("t") == P.months - 1
     raw = A.layered(spark, sf_dir).withColumn("layers", F.when(last, F.transform("layers", lambda x: F.lit(None).cast("double"))).otherwise(F.col("layers")))
     rows = raw.transform(recipes.first_layers())
-    auto = months.repair_last_month(rows, P.months, CELL, raw="layers").withColumnRenamed("sm", "auto")
-    always = months.repair_last_month(auto.withColumn("sm", F.col("auto")), P.months, CELL, mode="always")
-    return always.select(*CELL, "t", "auto", F.col("sm").alias("always"))
+    auto = months.repair_last_month(rows, P.months, SERIES, raw="layers").withColumnRenamed("sm", "auto")
+    always = months.repair_last_month(auto.withColumn("sm", F.col("auto")), P.months, SERIES, mode="always")
+    return always.select(*SERIES, "t", "auto", F.col("sm").alias("always"))
 
 
 @query
@@ -209,6 +223,11 @@ def ascii_grid(spark, sf_dir):
     return ascii_rows(medians.select("climate", "soc", "period", "lat_idx", "lon_idx", "d"), "d", A.LATS, A.LONS, ("climate", "soc", "period"), decimals=4)
 
 
+@query
+def model_maps(spark, sf_dir):
+    return map_lines(_masked(spark, sf_dir), ("d", "pi"), A.LATS, A.LONS, ("model", "climate", "soc", "period"), decimals=4)
+
+
 @query
 def latitude_weights(spark, sf_dir):
     return _rounded(quality_checks.latitude_weights(_one_scenario(spark, sf_dir)), "w")
@@ -251,6 +270,26 @@ def catalog(spark, sf_dir):
     return Registry({"root": "."}, models, done).table(A.with_package(spark))
 
 
+@query
+def registry_paths(spark, sf_dir):
+    """Paths that a registry read from YAML gives; the raw files must be there, folders for results are made."""
+    with tempfile.TemporaryDirectory() as folder:  # the driver's alone: registries are never read by executors
+        root, lines, done = Path(folder), [f"paths: {{root: {folder}}}", "models:"], ["processed:", "  models_1m:"]
+        (root / "raw").mkdir()
+        for m, v in (("h08", "soilmoist"), ("hydropy", "rootmoist")):
+            lines += [f"  {m}:", f"    variable: {v}"] + [f"    {s}: {folder}/raw/{m}_{s}.nc" for s in Registry.scenarios()]
+            done += [f"    {m}:"] + [f"      {s}: {folder}/out/{m}/{s}_1m.nc" for s in Registry.scenarios()]
+            for s in Registry.scenarios():
+                (root / "raw" / f"{m}_{s}.nc").touch()
+        (root / "registry.yml").write_text("\n".join(lines + done) + "\n")
+        known = Registry.load(str(root / "registry.yml"))
+        place = lambda p: str(Path(p).relative_to(root))
+        rows = [(m, s, place(known.raw(m, s)), place(known.processed(m, s)), known.variable(m)) for m in known.list_models() for s in known.scenarios()]
+        if not all((root / r[3]).parent.is_dir() for r in rows):
+            raise FileNotFoundError("folders for results weren't made")
+    return A.with_package(spark).createDataFrame(rows, "model string, scenario string, raw string, processed string, variable string")
+
+
 @query
 def map_names(spark, sf_dir):
     rows = [(s.climate, s.soc, s.period, m, ensemble.map_name(s.climate, s.soc, s.period, m)) for s in P.slices() for m in METRICS]

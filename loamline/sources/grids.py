@@ -94,19 +94,24 @@ def write_ascii(df: DataFrame, value: str, path: str, n_lat: int, n_lon: int, **
     top.unionByName(ascii_rows(df, value, n_lat, n_lon, **body)).coalesce(1).sortWithinPartitions("row").select("line").write.mode("overwrite").text(path)
 
 
-def write_maps(df: DataFrame, metrics: tuple[str, ...], path: str, n_lat: int, n_lon: int, keys: tuple[str, ...], **options) -> None:
-    """A grid for each combination of keys and each metric, all in one job: folders map=<keys>_<metric>, a file in each.
-
-    A map's lines meet in one task, n_lat of them; the maps are spread over the tasks.
-    """
+def map_lines(df: DataFrame, metrics: tuple[str, ...], n_lat: int, n_lon: int, keys: tuple[str, ...], **options) -> DataFrame:
+    """map (keys and metric), row, line: a grid with its header for each combination of keys and each metric."""
     head = {k: options[k] for k in ("x0", "y0", "size", "no_data") if k in options}
     body = {k: options[k] for k in ("no_data", "decimals", "north_first") if k in options}
     each = F.array(*[F.struct(F.concat_ws("_", *keys, F.lit(m)).alias("map"), F.col(m).cast("double").alias("value")) for m in metrics])
     long = df.select("lat_idx", "lon_idx", F.explode(each).alias("_m")).select("lat_idx", "lon_idx", "_m.map", "_m.value")
     lines = ascii_rows(long, "value", n_lat, n_lon, ("map",), **body)
     top = F.array(*[F.struct(F.lit(i - 100).alias("row"), F.lit(x).alias("line")) for i, x in enumerate(header(n_lat, n_lon, **head))])
-    tops = long.select("map").distinct().select("map", F.explode(top).alias("_t")).select("map", "_t.row", "_t.line")
-    lines.unionByName(tops).repartition("map").sortWithinPartitions("map", "row").select("map", "line").write.mode("overwrite").partitionBy("map").text(path)
+    return lines.unionByName(long.select("map").distinct().select("map", F.explode(top).alias("_t")).select("map", "_t.row", "_t.line"))
+
+
+def write_maps(df: DataFrame, metrics: tuple[str, ...], path: str, n_lat: int, n_lon: int, keys: tuple[str, ...], **options) -> None:
+    """The grids of map_lines, all in one job: folders map=<keys>_<metric>, a file in each.
+
+    A map's lines meet in one task, n_lat of them; the maps are spread over the tasks.
+    """
+    lines = map_lines(df, metrics, n_lat, n_lon, keys, **options)
+    lines.repartition("map").sortWithinPartitions("map", "row").select("map", "line").write.mode("overwrite").partitionBy("map").text(path)
 
 
 def write_soil(df: DataFrame, path: str) -> None:
