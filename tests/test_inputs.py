@@ -329,24 +329,23 @@ def test_months_that_arrive(spark, tmp_path):
 
     from loamline.params import Params
     from loamline.plans.attribution import metrics
-    from loamline.streaming.rescore import rescore
+    from loamline.streaming.rescore import SCHEMA, SeriesStore, rescore
 
     p, rnd = Params(months=24, slice_months=12), random.Random(3)
-    schema = "model string, lat_idx int, lon_idx int, climate string, soc string, t int, sm double"
     rows = [("m", 0, c, climate, soc, t, round(rnd.random() * 9, 1)) for c in range(2) for climate, soc in p.pool for t in range(24)]
-    early, late = [r for r in rows if r[5] < 20 or r[2] == 0], [r for r in rows if r[5] >= 20]
-    store, results = [spark.createDataFrame([], schema)], []
-
-    def save(df):
-        path = str(tmp_path / f"store{len(list(tmp_path.iterdir()))}")
-        df.write.parquet(path)
-        store[0] = spark.read.parquet(path)
-
+    early, late = [r for r in rows if r[5] < 20 or r[2] == 0], [r for r in rows if r[5] >= 20 and r[2] == 1]
+    store, results = SeriesStore(spark, str(tmp_path / "store"), 8), []
     source = tmp_path / "in"
-    batch = rescore(lambda: store[0], save, lambda df: results.append(df.collect()), p)
+    batch = rescore(store, lambda df: results.append(df.collect()), p)
     for part in (early, late):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
-        q = spark.readStream.schema(schema).parquet(str(source)).writeStream.foreachBatch(batch).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
+        q = spark.readStream.schema(SCHEMA).parquet(str(source)).writeStream.foreachBatch(batch).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
         q.awaitTermination()
-    want = metrics(spark.createDataFrame(rows, schema), p).collect()
-    assert sorted(results[-1]) == sorted(want)
+    want = sorted(metrics(spark.createDataFrame(rows, SCHEMA), p).collect())
+    assert sorted(results[-1]) == [r for r in want if r.lon_idx == 1]
+    versions = store.versions()
+    assert sorted(versions.values()) == [0, 1] and sorted(map(tuple, store.read().collect())) == sorted(rows)  # the other cell's bucket wasn't written again
+    batch(spark.createDataFrame(late, SCHEMA), 1)  # delivered again
+    assert results[-1] == results[-2] or sorted(results[-1]) == sorted(results[-2])
+    (tmp_path / "store" / "batch=9" / "bucket=0").mkdir(parents=True)  # a version that wasn't finished
+    assert store.versions() == versions
