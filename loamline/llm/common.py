@@ -6,6 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,9 +36,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
+    own = _own.get()
+    if own is not None:
+        own.append(table)
     return table
 
 
+_own: ContextVar[list[DataFrame] | None] = ContextVar("tables", default=None)
+
+
+@contextmanager
+def tables_written() -> Iterator[list[DataFrame]]:
+    """Collects the tables that are materialized inside (by this thread), to discard them when nothing needs them any more."""
+    own: list[DataFrame] = []
+    token = _own.set(own)
+    try:
+        yield own
+    finally:
+        _own.reset(token)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that nothing reads any more."""
     for t in tables:

@@ -58,7 +58,14 @@ HINTS = {
     "name": "name named called dear sincerely contact author by from",
 }
 HINTS = {k: frozenset(v.split()) for k, v in HINTS.items()}
-GIVEN = frozenset("James Mary John Patricia Robert Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Anna Maria Peter Hans Klaus Ursula Jürgen Sabine Jean Marie Pierre Michel Nathalie Philippe José Carmen Antonio Juan Francisco Ana Luis Laura Carlos Isabel".split())
+GIVEN = frozenset(
+    (
+        "James Mary John Patricia Robert Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Christopher Lisa Daniel Nancy Matthew Betty Anthony Sandra Mark Margaret Donald Ashley Steven Kimberly Andrew Emily Paul Donna Joshua Michelle Kenneth Carol Kevin Amanda Brian Melissa George Deborah Timothy Stephanie Ronald Rebecca Jason Sharon Edward Laura Jeffrey Cynthia Ryan Kathleen Jacob Amy Gary Angela "
+        "Anna Maria Peter Hans Klaus Ursula Jürgen Sabine Wolfgang Monika Heinz Petra Uwe Renate Dieter Helga Manfred Karin Günter Brigitte Horst Ingrid Bernd Erika Frank Andrea Stefan Claudia Matthias Gisela Andreas Susanne Markus Birgit Ralf Heike Sebastian Katrin Tobias Julia "
+        "Jean Marie Pierre Michel Nathalie Philippe Isabelle Alain Sylvie Patrick Catherine Nicolas Martine Christophe Christine Laurent Françoise Sébastien Valérie Julien Sandrine Frédéric Véronique Stéphane Céline Olivier Chantal Thierry Sophie Jacques Monique Antoine Camille Mathieu Aurélie "
+        "José Carmen Antonio Juan Francisco Ana Luis Carlos Isabel Manuel Dolores Javier Pilar Miguel Teresa Ángel Rosa Rafael Josefa Fernando Cristina Sergio Elena Alberto Lucía Alejandro Mercedes Jorge Raquel Diego Beatriz Pablo Rocío Ramón Marta Enrique Alicia Andrés"
+    ).split()
+)
 
 _NEAR = re.compile(r"[^\W\d]+")
 _DIGIT = re.compile(r"[0-9]")
