@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamline.llm.common import materialize
+from loamline.llm.common import discard, materialize, tables_written
 from loamline.llm.exact_dedup import drop_repeats
 from loamline.llm.near_dup import one_of_each
 from loamline.llm.packing import pack
@@ -58,10 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; what each keeps is written to the shared folder and read again by the next."""
-    docs = with_package(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, name)
-    return docs
+    """Apply the stages to documents; what each keeps is written to the shared folder and read again by the next. What a stage
+    wrote on its way, and what it read, is deleted as soon as its result is written."""
+    docs, read = with_package(spark).read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in STAGES[:-1]:
+        with tables_written() as own:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+        discard(*read, *(t for t in own if t is not docs))
+        read = [docs]
+    return STAGES[-1][1](spark, docs, sf_dir)
