@@ -33,8 +33,8 @@ def quorum(metrics: DataFrame, p: Params) -> DataFrame:
 
 def masks(metrics: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
     """soc, cell, mask: 0, 1 or null."""
-    joined = quorum(metrics, p).join(F.broadcast(class_mask(classes, p)), list(GRID), "left").withColumn("known", F.lit(True))
-    seen = F.broadcast(classes.select(*GRID).distinct().withColumn("_seen", F.lit(True)))
+    joined = quorum(metrics, p).join(class_mask(classes, p), list(GRID), "left").withColumn("known", F.lit(True))
+    seen = classes.select(*GRID).distinct().withColumn("_seen", F.lit(True))  # grows with the grid: no hint
     joined = joined.join(seen, list(GRID), "left")
     return joined.select("soc", *GRID, F.when(F.col("_seen"), F.col("agreed") * F.col("open")).otherwise(F.col("agreed")).alias("mask"))
 
