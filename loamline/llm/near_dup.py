@@ -44,7 +44,7 @@ VALUES, BAND, STEP = 128, 4, 16
 #: A pair is dropped when the posterior chance of reaching the threshold is below this.
 TOLERANCE = 1e-9
 #: A band with more classes than this makes a cluster; classes in a block.
-DENSE, BLOCK = 48, 128
+DENSE, BLOCK = 48, 64
 
 BANDS = VALUES // BAND
 _MULTIPLY = np.random.default_rng(20_240_229).integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -394,7 +394,7 @@ def similar_classes(docs: DataFrame, classes: DataFrame, n: int, threshold: floa
 
     whole = sets.join(classes.select("node", "bands", "bytes").join(clusters.select("node"), "node"), "node")
     from_blocks = dealt.join(whole, "node").groupBy("cluster", "lower", "low", "high", "apart").applyInArrow(block, LINK_SCHEMA)
-    links = materialize(from_pairs.unionByName(from_blocks), "links")
+    links = materialize(from_pairs, "pair-links").unionByName(materialize(from_blocks, "block-links"))
     discard(keys, members, live, clusters, likely, wanted, sets, placed, cells)
     return links
 
