@@ -11,13 +11,16 @@ CELL = "model, lat_idx, lon_idx"
 
 
 def quantile(p: str) -> str:
-    """The normal quantile by Newton's method on the series of the distribution function, which shares nothing with the
-    rational approximation of the engine: z with 1/2 + density(z) * sum of z^(2k+1) / (2k+1)!! = p, for the upper half."""
+    """The normal quantile by Newton's method on the chance above z, which shares nothing with the rational approximation
+    of the engine: 1/2 - density(z) * sum of z^(2k+1) / (2k+1)!! near the middle, density(z) over the continued fraction
+    z + 1/(z + 2/(z + 3/(...))) in the tail, where the first would lose digits."""
     m = f"least({p}, 1e0 - {p})"
-    density = "exp(-z * z / 2) / sqrt(2 * pi())"
-    series = "list_sum(list_transform(range(90), lambda k: exp((2 * k + 1) * ln(greatest(z, 1e-300)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1))))"
+    density = "(exp(-z * z / 2) / sqrt(2 * pi()))"
+    series = "list_sum(list_transform(range(60), lambda k: exp((2 * k + 1) * ln(greatest(z, 1e-300)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1))))"
+    fraction = "list_reduce(list_transform(range(100, 0, -1), lambda k: CAST(k AS DOUBLE)), lambda t, k: z + k / t, z)"
+    above = f"CASE WHEN z > 2 THEN {density} / {fraction} ELSE 0.5e0 - {density} * {series} END"
     start = f"4.91e0 * ((1e0 - {m}) ** 0.14e0 - {m} ** 0.14e0)"
-    return f"(CASE WHEN {p} < 0.5e0 THEN -1 ELSE 1 END) * list_reduce([{start}{', 0e0' * 12}], lambda z, i: z - (0.5e0 + {density} * {series} - (1e0 - {m})) / ({density}))"
+    return f"(CASE WHEN {p} < 0.5e0 THEN -1 ELSE 1 END) * list_reduce([{start}{', 0e0' * 12}], lambda z, i: z + ({above} - {m}) / {density})"
 
 
 def _values(rows) -> str:
