@@ -6,7 +6,8 @@ winner's id, a locator of the winner's row, and the group's size. A table is tak
 looked up in the hash over all earlier ones: a lookup computes the slot and then compares all 32 bytes, so digests that
 aren't in the index are told apart from members. Members are repeats and only change their slot's winner and size; nonmembers
 are groups by themselves and go, with the members, into the next index, which always holds old and new digests. In
-the end every row is judged by its slot in the last index.
+the end the digests of the table are looked up in the last index, and every row is judged by its digest's slot. Rows are
+grouped before they meet the index, so a task sees the digests of a shard, however many rows repeat them.
 
 Defined results: a null text counts as empty, an empty text equals other empty ones; texts are compared whole, whatever their
 length; of equal texts the row with the largest doc_id stays, a null doc_id is smaller than any other; of rows that repeat both
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, fresh, materialize, partitions
+from .common import fresh, join_uneven, materialize, partitions
 
 #: Bits a key in each level of the hash, and levels at most; keys left after the last level are found by bisection.
 GAMMA, LEVELS = 1.5, 24
@@ -32,7 +33,6 @@ SHARD_KEYS = 16_384
 
 INDEX_SCHEMA = "shard int, shards int, sizes array<int>, bits binary, slots binary, winners array<bigint>, locators array<bigint>, counts array<bigint>"
 GROUP_SCHEMA = "digest binary, winner bigint, locator bigint, size bigint"
-ROW_SCHEMA = "doc_id bigint, digest binary, keep_id bigint, group_size bigint, kept boolean, seen boolean"
 #: The locator of a winner that isn't a row of the table at hand, but of an earlier one.
 ELSEWHERE = -1
 
@@ -213,63 +213,24 @@ def index_groups(index: DataFrame) -> DataFrame:
     return index.mapInArrow(run, GROUP_SCHEMA)
 
 
-def group_facts(groups: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """digest, winner, locator and size in the index of each group, and its size in groups (here)."""
+def group_facts(groups: DataFrame, index: DataFrame, history: DataFrame, shards: int) -> DataFrame:
+    """digest, winner, locator and size in the index of each group, whether history (an index of as many shards) knew it
+    (seen), and its size in groups (here). A task sees the digests of a shard, not the rows."""
 
     def look(new: pa.Table, old: pa.Table) -> pa.Table:
-        shard, (digests, _, _, sizes) = _shard_of(old), _columns(new)
-        at = shard.find(digests) if shard else np.full(len(digests), -1)
+        digests, _, _, sizes = _columns(new)
+        found = {}
+        for r in old.to_pylist() if digests else ():
+            found[r["early"]] = Shard(r["sizes"], r["bits"], r["slots"], r["winners"], r["locators"], r["counts"])
+        shard, none = found.get(False), np.full(len(digests), -1)
+        at = shard.find(digests) if shard else none
         if (at < 0).any():
             raise ValueError("a digest isn't in the index")
-        return pa.table({"digest": pa.array(digests, pa.binary()), "winner": pa.array([shard.winners[k] for k in at], pa.int64()), "locator": pa.array([shard.locators[k] for k in at], pa.int64()), "size": pa.array([shard.counts[k] for k in at], pa.int64()), "here": pa.array(sizes, pa.int64())})
+        seen = found[True].find(digests) >= 0 if True in found else none >= 0
+        return pa.table({"digest": pa.array(digests, pa.binary()), "winner": pa.array([shard.winners[k] for k in at], pa.int64()), "locator": pa.array([shard.locators[k] for k in at], pa.int64()), "size": pa.array([shard.counts[k] for k in at], pa.int64()), "seen": pa.array(seen, pa.bool_()), "here": pa.array(sizes, pa.int64())})
 
-    return _with_shard(groups, shards).groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(look, GROUP_SCHEMA + ", here bigint")
-
-
-def look_up(rows: DataFrame, index: DataFrame, shards: int, history: DataFrame, hot: list[tuple[bytes, int | None, int, int, bool]]) -> DataFrame:
-    """Every row with the winner and the size of its group, and whether history (an index of as many shards) knew its text.
-
-    rows: doc_id, digest, row. hot: digests with so many rows that one shard's task would get too many (fewer than
-    1 / HOT_SHARE of them), with winner, locator, size and whether history knew them; they are found where they lie, in
-    a small perfect hash of their own, and not shuffled at all.
-    """
-    small = Shard.build([h[0] for h in hot], [h[1] for h in hot], [h[2] for h in hot], [h[3] for h in hot]) if hot else None
-    known = {h[0] for h in hot if h[4]}
-
-    def judged(b, shard: Shard, at: np.ndarray, seen: list[bool]) -> list[pa.Array]:
-        where = b.column("row").to_pylist()
-        return [b.column("doc_id"), b.column("digest"), pa.array([shard.winners[k] for k in at], pa.int64()), pa.array([shard.counts[k] for k in at], pa.int64()), pa.array([shard.locators[k] == r for k, r in zip(at, where, strict=True)], pa.bool_()), pa.array(seen, pa.bool_())]
-
-    names = ["doc_id", "digest", "keep_id", "group_size", "kept", "seen"]
-
-    def split(found: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                at = small.find(b.column("digest").to_pylist())
-                b = b.filter(pa.array((at >= 0) == found))
-                if found:
-                    b = pa.RecordBatch.from_arrays(judged(b, small, at[at >= 0], [d in known for d in b.column("digest").to_pylist()]), names)
-                yield b
-
-        return run
-
-    def look(new: pa.Table, old: pa.Table) -> pa.Table:
-        shards_of = {r["early"]: Shard(r["sizes"], r["bits"], r["slots"], r["winners"], r["locators"], r["counts"]) for r in old.to_pylist()} if new.num_rows else {}
-        new = new.combine_chunks()
-        digests = new["digest"].to_pylist()
-        at = shards_of[False].find(digests) if False in shards_of else np.full(len(digests), -1)
-        if (at < 0).any():
-            raise ValueError("a digest isn't in the index")
-        if not new.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()), strict=True)})
-        seen = (shards_of[True].find(digests) >= 0).tolist() if True in shards_of else [False] * len(digests)
-        return pa.Table.from_arrays(judged(new, shards_of[False], at, seen), names=names)
-
-    rows = rows.select("doc_id", "digest", "row")
-    cold = rows.mapInArrow(split(False), rows.schema) if hot else rows
     both = index.withColumn("early", F.lit(False)).unionByName(history.withColumn("early", F.lit(True)))
-    out = _with_shard(cold, shards).groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(look, ROW_SCHEMA)
-    return out.unionByName(rows.mapInArrow(split(True), ROW_SCHEMA)) if hot else out
+    return _with_shard(groups, shards).groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(look, GROUP_SCHEMA + ", seen boolean, here bigint")
 
 
 def exact_dedup(docs: DataFrame, history: DataFrame | None = None, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -298,32 +259,19 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, shards: int |
         old = index_groups(history).withColumn("locator", F.lit(ELSEWHERE).cast("bigint"))
         index = materialize(extend_index(old, index, shards), "digest-index")
     groups = materialize(rows.groupBy("batch", "digest").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("size")).select("batch", "digest", F.col("best.doc_id").alias("winner"), F.col("best.row").alias("locator"), "size"), "digest-groups")
+    facts = None
     before = []
     for k in range(batches):
         before.append(index)
         index = materialize(extend_index(groups.filter(F.col("batch") == k).drop("batch"), index, shards), "digest-index")
-    out = None
     for k in range(batches):
-        own = groups.filter(F.col("batch") == k).drop("batch")
-        large = own.filter(F.col("size") > max(1, int(total * HOT_SHARE)))  # fewer than 1 / HOT_SHARE of all digests
-        hot = []
-        if total:
-            known = {bytes(r[0]) for r in look_known(large, before[k], shards).collect()}
-            hot = [(bytes(r.digest), r.winner, r.locator, r.size, bytes(r.digest) in known) for r in group_facts(large, index, shards).collect()]
-        part = look_up(rows.filter(F.col("batch") == k), index, shards, before[k], sorted(hot))
-        out = part if out is None else out.unionByName(part)
-    return out, index
-
-
-def look_known(groups: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """The digests of groups that are members of the index."""
-
-    def look(new: pa.Table, old: pa.Table) -> pa.Table:
-        shard, digests = _shard_of(old), new["digest"].to_pylist()
-        at = shard.find(digests) if shard else np.full(len(digests), -1)
-        return pa.table({"digest": pa.array([d for d, k in zip(digests, at, strict=True) if k >= 0], pa.binary())})
-
-    return _with_shard(groups, shards).groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(look, "digest binary")
+        own = group_facts(groups.filter(F.col("batch") == k).drop("batch"), index, before[k], shards).withColumn("batch", F.lit(k))
+        facts = own if facts is None else facts.unionByName(own)
+    # a digest may be in several batches; a row is judged by what its own batch met
+    key = F.concat(F.col("digest"), F.col("batch").cast("string").cast("binary")).alias("key")
+    facts = materialize(facts.select(key, "winner", "locator", "size", "seen", "here"), "digest-facts")
+    out = join_uneven(rows.select(key, "doc_id", "digest", "row"), facts, "key", "here", max(1, total))
+    return out.select("doc_id", "digest", F.col("winner").alias("keep_id"), F.col("size").alias("group_size"), (F.col("locator") == F.col("row")).alias("kept"), "seen"), index
 
 
 def drop_repeats(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
