@@ -11,7 +11,9 @@ Four machines are compiled from the model file into tables of arcs:
   out (pieces in the square); each is computed when it is first met, from the tables of how pieces come about.
 
 Composed with an input they give a lattice over the places of the normalised text. The tropical shortest path is found by
-relaxing the arcs in order of places. In unigram models an arc weighs the piece's negated score. In merge models all
+relaxing the arcs in order of places. In merge models that depends on nothing but the last piece and the arcs that reach over a
+place, so the composed machine is made deterministic as texts are read: its states are those, up to a bounded number, and a
+step taken before is one lookup. In unigram models an arc weighs the piece's negated score. In merge models all
 weights are 0 or infinity; what merging yields for a text begins with what it yields for the text up to any of the
 path's places, so to each place leads exactly one path of finite weight, and one last piece is the whole state there.
 
@@ -19,8 +21,9 @@ How a piece comes about is its last merge, that of its halves, and so on. Beside
 pieces at their border grow along the right edge of the first one's tree and the left edge of the second one's; the two
 stay if at no moment the parts at the border make a piece that scores better than the merges either of them waits for.
 
-Texts of merge models are cut where no piece can cross: before runs of space marks, and between neighbouring characters that no
-piece holds. (In unigram models the rounding of sums over the whole text decides ties, so they aren't cut.) Parts met before are remembered, up to a bounded number.
+Texts of merge models are cut where no piece can cross: before runs of space marks, and between characters of classes that no
+piece mixes. (In unigram models the rounding of sums over the whole text decides ties, so they aren't cut.) Parts met before
+are remembered, up to a bounded number.
 
 Defined results: null counts as empty and has no ids; texts are encoded whole, in time that grows with their length; of equally
 good paths the one whose last arc begins earlier stays; decoding takes the space in front away; repeated rows are each done; an empty table
@@ -42,6 +45,10 @@ from pyspark.sql import functions as F
 
 #: Parts of texts that a worker remembers the ids of.
 MEMORY = 500_000
+#: Classes of characters by which texts are cut; all others are one more.
+CLASSES = 8
+#: States of the composed machine that a worker remembers.
+STATES = 200_000
 MARK = "▁"
 
 # Numbers of fields and types in model files.
@@ -135,14 +142,21 @@ class Transducer:
         self.worst, self.best = np.float32(min(normal, default=0.0) - 10), max(normal, default=0.0)
         self.mark = MARK if self.escape else " "
         self.cuttable = kind == BPE and not any(self.mark in n.lstrip(self.mark) for n in self.pieces)
-        self.parts = re.compile(f"{self.mark}*[^{self.mark}]+|{self.mark}+")
+        self.parts = re.compile(f"{self.mark}*(?:{'|'.join([*self._classes(), f'[^{self.mark}]'])})|{self.mark}+", re.S)
         if kind == BPE:
             self._compile_merges()
         self._compile_pieces()
-        #: neighbouring characters that some piece holds; nothing crosses between any others
-        self.joined = {n[k : k + 2] for n in self.pieces for k in range(len(n) - 1)}
         self.memory: dict[str, bytes] = {}
-        self.inner: dict[str, bytes] = {}
+        #: what each piece writes, as little-endian 32-bit numbers
+        self.codes = [np.array(self.written(i, n), dtype="<i4").tobytes() for i, n in enumerate(self.names)]
+        #: code points that each piece reads; one for byte fallback, whose number is -1
+        self.reads = [*map(len, self.names), 1]
+        # of each state of the composed machine: the next state for a character, the last piece, the arcs that reach over it
+        self.after: list[dict[str, int]] = []
+        self.last: list[int | None] = []
+        self.over: list[tuple[tuple[int, int | None], ...]] = []
+        self.states: dict[tuple[tuple[int, int | None], ...], int] = {}
+        self._state(((0, None),))
         self.plain = [b"" if t in (CONTROL, UNKNOWN) else bytes([int(n[3:5], 16)]) if t == BYTE else n.replace(MARK, " ").encode() for n, t in each]
         self.plain[self.unknown] = " ⁇ ".encode()
 
@@ -192,6 +206,18 @@ class Transducer:
 
     # The pieces.
 
+    def _classes(self) -> list[str]:
+        """Runs of characters that pieces join, be it by way of others; no piece holds neighbours of two classes or of none."""
+        group: dict[str, set[str]] = {}
+        for name in self.pieces:
+            chars = name.replace(self.mark, "")
+            if len(chars) > 1 and (chars[0] not in group or len({id(group.get(c)) for c in chars}) > 1):
+                one = set(chars).union(*(group.get(c, ()) for c in chars))
+                group.update(dict.fromkeys(one, one))
+        each = sorted({id(g): g for g in group.values()}.values(), key=len, reverse=True)
+        each = [*each[:CLASSES], set().union(*each[CLASSES:])]
+        return [f"[{''.join(map(re.escape, sorted(g)))}]++" for g in each if g]
+
     def _compile_pieces(self) -> None:
         """arcs[state]: the next state for a character; final[state]: the piece written there, or -1."""
         self.arcs: list[dict[str, int]] = [{}]
@@ -251,15 +277,15 @@ class Transducer:
                 self.left_edge[i], self.right_edge[i] = (*self.left_edge[a], i), (*self.right_edge[b], i)
                 if not all(h not in self.odd and (len(self.names[h]) == 1 or self.scores[h] > self.scores[i]) for h in (a, b)):
                     self.odd.add(i)
-        self.weights: dict[tuple[int, int], bool] = {}
+        self.weights: dict[int, bool] = {}
 
     def _stay(self, a: int, b: int) -> bool:
         """Whether the arc from piece a to piece b has a finite weight."""
-        known = self.weights.get((a, b))
+        known = self.weights.get(a << 32 | b)
         if known is None:
             if len(self.weights) > 4 * MEMORY:
                 self.weights.clear()
-            known = self.weights[a, b] = self._grow(a, b) if a not in self.odd and b not in self.odd else self._merges(self.names[a] + self.names[b])[0] == [self.names[a], self.names[b]]
+            known = self.weights[a << 32 | b] = self._grow(a, b) if a not in self.odd and b not in self.odd else self._merges(self.names[a] + self.names[b])[0] == [self.names[a], self.names[b]]
         return known
 
     def _grow(self, a: int, b: int) -> bool:
@@ -280,44 +306,78 @@ class Transducer:
 
     # Composition with an input, and the shortest path.
 
+    def _state(self, over: tuple[tuple[int, int | None], ...]) -> int:
+        """The state with these arcs over it: their places in the trie of pieces and the pieces in front of them, the longest first."""
+        known = self.states.get(over)
+        if known is None:
+            known = self.states[over] = len(self.over)
+            self.after.append({})
+            self.last.append(over[-1][1])
+            self.over.append(over)
+        return known
+
+    def _step(self, state: int, c: str) -> int:
+        """Relaxes the arcs over a place by one character."""
+        arcs, final, last, over = self.arcs, self.final, None, []
+        for at, had in self.over[state]:
+            to = arcs[at].get(c)
+            if to is None:
+                continue
+            piece = final[to]
+            if piece >= 0 and last is None and (had is None or had < 0 or self._stay(had, piece)):
+                last = piece
+            if arcs[to]:
+                over.append((to, had))
+        if last is None and final[arcs[0].get(c, 0)] < 0:
+            last = -1
+        if len(self.over) > STATES:  # begin anew; the state in front of a text is 0 again
+            for table in (self.after, self.last, self.over, self.states):
+                table.clear()
+            self._state(((0, None),))
+            return self._state((*over, (0, last)))
+        to = self.after[state][c] = self._state((*over, (0, last)))
+        return to
+
+    def _pieces(self, text: str) -> list[int]:
+        """The pieces on the shortest path of a merge model."""
+        after, last, reads, state, found = self.after, self.last, self.reads, 0, []
+        for c in text:
+            to = after[state].get(c)
+            state = self._step(state, c) if to is None else to
+            found.append(last[state])
+        out, at = [], len(found)
+        while at:
+            piece = found[at - 1]
+            out.append(piece)
+            at -= reads[piece]
+        out.reverse()
+        return out
+
     def path(self, text: str) -> list[tuple[int, str]]:
         """The arcs of the shortest path: pieces (-1 for byte fallback) and the text they read."""
         n, arcs, final = len(text), self.arcs, self.final
-        last, back = [None] * (n + 1), [0] * (n + 1)
         if self.kind == BPE:
-            weights = self.weights
-            for at in range(n):
-                had, state, end = last[at], 0, at
-                while end < n:
-                    state = arcs[state].get(text[end])
-                    end += 1
-                    if state is None:
-                        break
-                    piece = final[state]
-                    if piece >= 0 and last[end] is None:
-                        stays = had is None or had < 0 or weights.get((had, piece))
-                        if self._stay(had, piece) if stays is None else stays:
-                            last[end], back[end] = piece, at
-                if last[at + 1] is None and final[arcs[0].get(text[at], 0)] < 0:
-                    last[at + 1], back[at + 1] = -1, at
-        else:
-            # sums are kept in single precision, as the library does, since ties hang on it
-            weight: list[np.float32 | None] = [np.float32(0)] + [None] * n
-            for at in range(n):
-                here, state, end, single = weight[at], 0, at, False
-                while end < n:
-                    state = arcs[state].get(text[end])
-                    end += 1
-                    if state is None:
-                        break
-                    piece = final[state]
-                    if piece >= 0:
-                        single |= end == at + 1
-                        sum_ = here + (np.float32(len(text[at:end].encode()) * np.float32(self.best) - 0.1) if self.types[piece] == USER else np.float32(self.scores[piece]))
-                        if weight[end] is None or sum_ > weight[end]:
-                            weight[end], last[end], back[end] = sum_, piece, at
-                if not single and (weight[at + 1] is None or here + self.worst > weight[at + 1]):
-                    weight[at + 1], last[at + 1], back[at + 1] = here + self.worst, -1, at
+            pieces = self._pieces(text)
+            ends = np.cumsum([self.reads[p] for p in pieces]).tolist()
+            return [(p, text[end - self.reads[p] : end]) for p, end in zip(pieces, ends, strict=True)]
+        # sums are kept in single precision, as the library does, since ties hang on it
+        last, back = [None] * (n + 1), [0] * (n + 1)
+        weight: list[np.float32 | None] = [np.float32(0)] + [None] * n
+        for at in range(n):
+            here, state, end, single = weight[at], 0, at, False
+            while end < n:
+                state = arcs[state].get(text[end])
+                end += 1
+                if state is None:
+                    break
+                piece = final[state]
+                if piece >= 0:
+                    single |= end == at + 1
+                    sum_ = here + (np.float32(len(text[at:end].encode()) * np.float32(self.best) - 0.1) if self.types[piece] == USER else np.float32(self.scores[piece]))
+                    if weight[end] is None or sum_ > weight[end]:
+                        weight[end], last[end], back[end] = sum_, piece, at
+            if not single and (weight[at + 1] is None or here + self.worst > weight[at + 1]):
+                weight[at + 1], last[at + 1], back[at + 1] = here + self.worst, -1, at
         out, at = [], n
         while at:
             out.append((last[at], text[back[at] : at]))
@@ -335,54 +395,36 @@ class Transducer:
 
     def _part(self, text: str) -> bytes:
         if self.kind == BPE and self.user_cut:
-            ids = [i for k, t in enumerate(self.user_cut.split(text)) for i in ([self.pieces[t]] if k % 2 else [i for p in self.path(t) for i in self.written(*p)])]
-        else:
-            ids = [i for p in self.path(text) for i in self.written(*p)]
-        return np.array(ids, dtype="<i4").tobytes()
-
-    def _word(self, text: str) -> bytes:
-        """A part, cut further between neighbours that no piece holds."""
-        joined, known, out, begin = self.joined, self.inner, [], 0
-        if len(known) > MEMORY:
-            known.clear()
-        for end in range(1, len(text) + 1):
-            if end == len(text) or text[end - 1 : end + 1] not in joined:
-                part = text[begin:end]
-                ids = known.get(part)
-                if ids is None:
-                    ids = self._part(part)
-                    if len(part) < 64:
-                        known[part] = ids
-                out.append(ids)
-                begin = end
-        return b"".join(out)
+            return b"".join([self.codes[self.pieces[t]] if k % 2 else self._cut(t) for k, t in enumerate(self.user_cut.split(text))])
+        return self._cut(text)
+
+    def _cut(self, text: str) -> bytes:
+        """What the shortest path of a text without symbols of the user writes."""
+        if self.kind == BPE:
+            pieces = self._pieces(text)
+            if -1 not in pieces:
+                return b"".join([self.codes[p] for p in pieces])
+        return b"".join([self.codes[p] if p >= 0 else np.array(self.written(p, t), dtype="<i4").tobytes() for p, t in self.path(text)])
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit numbers."""
         norm = self.normalise(text or "")
         if not norm:
             return b""
-        memory, mark = self.memory, self.mark
+        memory = self.memory
         if not self.cuttable or self.user:
             out = self._part(norm)
         else:
-            # a part with one mark in front is remembered without it, one with more marks with all, one with none not at all
-            if norm.startswith(mark) and mark + mark not in norm and not norm.endswith(mark):
-                parts = norm.split(mark)[1:]
-            else:
-                parts = [p[1:] if p.startswith(mark) and p[1:2] not in ("", mark) else p if p.startswith(mark) else None for p in self.parts.findall(norm)]
+            parts = self.parts.findall(norm)
             found = list(map(memory.get, parts))
             if None in found:
                 if len(memory) > MEMORY:
                     memory.clear()
-                for i, ids in enumerate(found):
-                    if ids is None and parts[i] is None:  # only the first part can have no mark
-                        found[i] = self._part(self.parts.match(norm).group())
-                    elif ids is None:
-                        p = parts[i]
-                        found[i] = memory.get(p) or self._word(p if p.startswith(mark) else mark + p)
-                        if len(p) < 64:
-                            memory[p] = found[i]
+                for i in [i for i, ids in enumerate(found) if ids is None]:
+                    p = parts[i]
+                    found[i] = memory.get(p) or self._part(p)
+                    if len(p) < 64:
+                        memory[p] = found[i]
             out = b"".join(found)
         if len(self.bytes) < 256:  # neighbouring unknown characters are one
             ids = np.frombuffer(out, dtype="<i4")

@@ -157,6 +157,39 @@ def test_arcs_of_merges_weigh_what_merging_says():
         assert fst._stay(a, b) == (fst._merges(fst.names[a] + fst.names[b])[0] == [fst.names[a], fst.names[b]])
 
 
+@pytest.mark.parametrize(("states", "classes"), [(200_000, 8), (3, 8), (50, 0), (200_000, 1)])
+def test_cuts_and_states_equal_the_library(states, classes, monkeypatch):
+    """However few states are remembered and however coarsely texts are cut, ids are the library's."""
+    monkeypatch.setattr(sentencepiece_fst, "STATES", states)
+    monkeypatch.setattr(sentencepiece_fst, "CLASSES", classes)
+    with open(P.path("piece_bpe_32k.model"), "rb") as f:
+        fst = sentencepiece_fst.Transducer(f.read())
+    _, library = models()
+    assert len(fst._classes()) <= classes + 1
+    rnd = random.Random(7)
+    syllables = ["th", "er", "ion", "é", "ß", "ö", "при", "ве", "т", "据数", "取", "漢", "ال", "12", "7", ",", ".\n", "...", "“", "─", "═", "\r", "\t", " ", "  ", "▁", "'s", "-", "]^\\", "😀", "\u0301", "E"]
+    for _ in range(1500):
+        t = "".join(rnd.choice(syllables) for _ in range(rnd.randint(0, 25)))
+        assert np.frombuffer(fst.encode(t), dtype="<i4").tolist() == library.encode(t), t
+    assert len(fst.over) <= states + 2
+
+
+def test_words_are_remembered_without_what_stands_beside_them():
+    with open(P.path("piece_bpe_32k.model"), "rb") as f:
+        fst = sentencepiece_fst.Transducer(f.read())
+    _, library = models()
+    words = [a + b + c for a in ("ther", "ing", "ent") for b in ("ion", "keit", "ver") for c in ("ous", "eth", "ung")]
+    ends = [",", ".", "!", "?", "...", ".\nund", "***"]
+    text = " ".join(w + e for w in words for e in ends)
+    assert np.frombuffer(fst.encode(text), dtype="<i4").tolist() == library.encode(text)
+    assert len(fst.memory) <= len(words) + len(ends) + 1
+    steps, step = [], fst._step
+    fst._step = lambda *a: steps.append(a) or step(*a)
+    fst.memory.clear()
+    fst.encode(text)
+    assert not steps  # every state was met before
+
+
 def test_long_texts_are_encoded_whole():
     fst, library = models()
     for t in ("x" * 100_000, "漢" * 30_000, "ab" * 50_000, " " * 5000 + "a", "a b" * 50_000):
