@@ -1,7 +1,7 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block of the page. Lines inside elements that by tag, role, class or
-id are menus, notices, adverts, forms or reader comments weigh nothing; the others weigh their text outside links. An article
+id are menus, notices, adverts, forms or reader comments are left out; the others weigh their text outside links. An article
 element (or else main) is a weight: lines inside count for more, lines outside for a small part. Sums of the weights over
 sliding windows of lines form the distribution; text begins wherever it surges from a window of little weight and ends
 where it dives again, on every page. What lies between is the text.
@@ -248,11 +248,11 @@ def surge_and_dive(heavy: list[float]) -> list[bool]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    lines = lines_of(page)
+    lines = [line for line in lines_of(page) if line[2] >= 0]
     heavy, kept, begin = weights(lines), [], 0
     marked = max((z for _, _, z in lines), default=0)
     # windows don't reach over the edge of an article: a line beside one isn't text because its neighbour is
-    inside = [z == marked or z < 0 for _, _, z in lines] if marked > 0 else [True] * len(lines)
+    inside = [z == marked for _, _, z in lines]
     for i in range(1, len(lines) + 1):
         if i == len(lines) or inside[i] != inside[begin]:
             kept += surge_and_dive(heavy[begin:i]) if inside[begin] else outside_text(heavy[begin:i])

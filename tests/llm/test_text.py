@@ -236,6 +236,19 @@ def test_text_between_boxes():
     assert html_text.main_text(PAGE % (paragraphs(first) + box + short + box + paragraphs(second))) == " ".join([first.strip()] * 2 + ["A short line."] + [second.strip()] * 2)
 
 
+def test_boxes_dont_part_lines():
+    """What is left out doesn't stand between lines, whatever its length; alone it is no text."""
+    lines = [f"Line {i} has some text." for i in range(6)]
+    long = "word " * 80
+    for n in (1, 3, 20):
+        box = "<div class=share>" + "<p>Share</p>" * n + "</div>"
+        page = PAGE % (f"<p>{long}</p>" + "".join(box + f"<p>{x}</p>" for x in lines[:2]) + box + f"<p>{long}</p>")
+        assert html_text.main_text(page) == " ".join([long.strip(), *lines[:2], long.strip()])
+        assert html_text.main_text(PAGE % (box + box.join(f"<p>{x}</p>" for x in lines) + box)) == " ".join(lines)
+        assert html_text.main_text(PAGE % (f"<article>{box}" + box.join(f"<p>{x}</p>" for x in lines) + "</article>" + box + "<p>Outside.</p>")) == " ".join(lines)
+        assert html_text.main_text(PAGE % box) == ""
+
+
 def test_extract_text(spark):
     rows = [(1, "u", PAGE % "<main><p>Hi</p></main>"), (2, None, None), (None, "v", "<p>" + "y" * 100_000)]
     pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id bigint, url string, html string, text string")
